@@ -13,6 +13,8 @@ from .textkit import Words, as_signed, grams, materialize, mix, pieces
 
 #: Lists longer than this share one document frequency (the order stays the same for all sets).
 SATURATED = 1 << 20
+#: Cost of an entry scanned in a list, against a row that is shuffled.
+SCAN = 0.005
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -260,6 +262,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if held:
                 rows = np.concatenate([held[0], rows], axis=1)
             start = held[0].shape[1] if held else 0
+            st = _starts(rows[0])
+            size = np.diff(np.append(st, rows.shape[1]))
+            open_run = np.minimum.reduceat(rows[3], st) != np.maximum.reduceat(rows[3], st)
+            open_run[-1] = True  # its list may go on in the next batch
+            use = np.repeat(open_run, size)
+            start = int(use[:start].sum())
+            rows = rows[:, use]
             key, n, rep, lab = rows
             out_a, out_b = [], []
             lo = np.searchsorted(key, key, "left")
@@ -280,8 +289,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             f = lo[-1] + np.searchsorted(n[lo[-1] :] * 100, n[-1] * pct, "left")
             held = [rows[:, f:]]
 
-    mixed = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    rest = _sorted_by(marked.join(mixed, "key", "left_semi"), "key", "n", "rep").mapInArrow(open_pairs, "a long, b long").distinct()
+    rest = _sorted_by(marked, "key", "n", "rep").mapInArrow(open_pairs, "a long, b long").distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = materialize(verified(rest, sets, pct), "more-links")
     labels = components(links.unionByName(more))
@@ -308,16 +316,19 @@ def _pairs(a, an, b, bn, pct: int) -> pa.RecordBatch:
 def light_boundary(sets: DataFrame) -> int:
     """The set size up to which enumerating 2-subsets costs least in total (0: never).
 
-    The costs are summed per size class on the cluster; at most a few hundred sums are fetched."""
+    A row to shuffle (a subset, or an entry of an inverted list) costs 1, an entry scanned in a list
+    ``SCAN``. Subsets may at most double the rows. The costs are summed per size class on the cluster; at most a few hundred sums are fetched."""
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")) * 8) / 8)))
     p2 = F.least(F.col("p") + 1, F.size("h")).cast("double")
     scans = F.aggregate(F.slice("df", F.lit(1), F.col("p")), F.lit(0.0), lambda s, x: s + x)
-    rows = sets.groupBy(step.cast("long").alias("size")).agg(F.sum(p2 * (p2 - 1) / 2).alias("subsets"), F.sum(scans).alias("scans")).orderBy("size").collect()
-    best, at = sum(r["scans"] for r in rows), 0
+    rows = sets.groupBy(step.cast("long").alias("size")).agg(F.sum(p2 * (p2 - 1) / 2).alias("subsets"), F.sum(scans).alias("scans"), F.sum("p").alias("posts")).orderBy("size").collect()
+    best, at = sum(r["posts"] + SCAN * r["scans"] for r in rows), 0
+    most = 2 * sum(r["posts"] for r in rows)
     for i, r in enumerate(rows):
         top = rows[i + 1]["size"] - 1 if i + 1 < len(rows) else r["size"] * 2
-        cost = sum(x["subsets"] for x in rows[: i + 1]) + sum(x["scans"] for x in rows if x["size"] * 4 > 3 * top)
-        if cost < best:
+        subsets = sum(x["subsets"] for x in rows[: i + 1])
+        cost = subsets + sum(x["posts"] + SCAN * x["scans"] for x in rows if x["size"] * 4 > 3 * top)
+        if cost < best and subsets <= most:
             best, at = cost, int(top)
     return at
 
