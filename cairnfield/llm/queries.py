@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, lm, mixing, substr, toxicity
+from . import decontam, exact, jaccard, langid, lm, mixing, substr, tokens, toxicity, warc
 from .textkit import read
 
 
+#: Default vocabulary of op6; a parameter of the query function.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -28,6 +32,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(read(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    return tokens.count_tokens(read(spark, sf_dir, "documents"), tokens.unigram_pieces(model_file))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -45,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
@@ -83,4 +103,15 @@ FROM (SELECT *, floor(rate)::BIGINT + (CASE WHEN ('0x' || substr(md5('mix:' || c
                                                  < rate - floor(rate) THEN 1 ELSE 0 END) AS copies FROM r)
 """
 
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op10_mixing": OP10_SQL}
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_mixing": OP10_SQL}

@@ -32,7 +32,7 @@ class Model:
         return np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 4, held: int = 2, most: int = 4000, chosen: int = 2048) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 4, held: int = 2, most: int = 4000, chosen: int = 1024) -> Model:
     """Fit on a bounded sample of labelled rows: ``most`` of each label, the first by a hash of the id.
 
     N-gram presence is counted per label on the cluster (at most 2**BITS sums reach the driver);
@@ -87,9 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for i, v in enumerate(t.column("x").to_pylist()):
         x[i, np.array(v, np.int64) - 1] = 1.0
     order = np.lexsort((x @ np.arange(len(best), dtype=np.float32), y))  # rows come in any order; sums should not
-    x, y, scale = x[order] * r[best].astype(np.float32), y[order].astype(np.float32), 1.0
+    x, y = x[order] * r[best].astype(np.float32), y[order].astype(np.float32)
     weight = np.where(y > 0, share[1] / max(n1, 1), share[0] / max(n0, 1))
-    w, b = fit_logistic(x * scale, y[:, None], weight[:, None], l2=1e-4, steps=200, rate=0.03)
+    w, b = fit_logistic(x, y[:, None], weight[:, None], l2=1e-3, steps=200, rate=0.03)
     return Model(slot, np.append(0, w[:, 0] * r[best]).astype(np.float32), float(b[0]))
 
 
