@@ -74,6 +74,9 @@ class Index:
     item: np.ndarray
     pos: np.ndarray
     seen: np.ndarray  #: bitmap of the low bits of the hashes
+    sizes: np.ndarray  #: characters of each item
+    edits: np.ndarray  #: edit budget of each item
+    short: list[int]  #: items too short for a q-gram
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
@@ -86,14 +89,18 @@ class Index:
         grams, first = np.unique(h[order], return_index=True)
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[grams & np.uint64((1 << _FILTER_BITS) - 1)] = True
-        return cls(np.array([i for i, _ in items], np.int64), texts, grams, np.append(first, len(h)), item[order], pos[order], seen)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        edits = np.array([budget(int(m)) for m in sizes], np.int64)
+        short = [k for k, m in enumerate(sizes) if 0 < m < Q]
+        return cls(np.array([i for i, _ in items], np.int64), texts, grams, np.append(first, len(h)), item[order], pos[order], seen, sizes, edits, short)
 
     def search(self, text: str | None) -> list[tuple[int, int]]:
         """(item id, edits) of every item that the whole text holds within its edit budget."""
         c = normal(text)
         found: dict[int, int] = {}
-        for k, t in enumerate(self.texts):  # items too short for a q-gram: exact
-            if 0 < len(t) < Q and len(c) >= len(t) and (np.lib.stride_tricks.sliding_window_view(c, len(t)) == t).all(axis=1).any():
+        for k in self.short:  # exact
+            t = self.texts[k]
+            if len(c) >= len(t) and (np.lib.stride_tricks.sliding_window_view(c, len(t)) == t).all(axis=1).any():
                 found[k] = 0
         h = qgrams(c)
         p = np.flatnonzero(self.seen[h & np.uint64((1 << _FILTER_BITS) - 1)])
@@ -104,8 +111,8 @@ class Index:
             n = self.at[g + 1] - self.at[g]
             post = np.repeat(self.at[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(p) else np.zeros(0, np.int64)
             item, diag = self.item[post], np.repeat(p, n) - self.pos[post]
-            for k, lo, hi in self._regions(item, diag, len(c)):
-                e = budget(len(self.texts[k]))
+            for k, lo, hi in self._regions(item, diag):
+                e = int(self.edits[k])
                 if found.get(k, e + 1) > 0:
                     a = max(0, lo - e)
                     part = c[a : hi + len(self.texts[k]) + e + 1]
@@ -114,17 +121,14 @@ class Index:
                         found[k] = min(d, found.get(k, d))
         return sorted((int(self.ids[k]), d) for k, d in found.items())
 
-    def _regions(self, item: np.ndarray, diag: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    def _regions(self, item: np.ndarray, diag: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Bands of diagonals with as many shared q-grams as the lemma asks: m - q + 1 - q e.
 
         Bands are 2 (e + 1) diagonals wide and overlap by half, so every alignment lies in one."""
         if not len(item):
             return
-        m = np.array([len(t) for t in self.texts])
-        e = np.array([budget(x) for x in m])
-        need = m - Q + 1 - Q * e
-        width = e[item] + 1
-        band = (diag + size * 0) // width
+        need = self.sizes - Q + 1 - Q * self.edits
+        band = diag // (self.edits[item] + 1)
         key = item.astype(np.int64) << 40
         key = key + band + (1 << 39)
         u, n = np.unique(key, return_counts=True)
@@ -135,7 +139,7 @@ class Index:
         k = u >> 40
         b = (u & ((1 << 40) - 1)) - (1 << 39)
         for i in np.flatnonzero((n + follow >= need[k]) | (n + lead >= need[k])):
-            w = e[k[i]] + 1
+            w = self.edits[k[i]] + 1
             if n[i] + follow[i] >= need[k[i]]:
                 yield int(k[i]), int(b[i] * w), int((b[i] + 2) * w - 1)
             elif lead[i] == 0:
