@@ -15,6 +15,10 @@ from .textkit import Words, as_signed, grams, materialize, mix, pieces
 SATURATED = 1 << 20
 #: Cost of an entry scanned in a list, against a row that is shuffled.
 SCAN = 0.005
+#: 64-bit words of a set's sketch, and neighbours looked at in a list sorted at random.
+WORDS = 4
+NEAR = 4
+_SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -83,7 +87,7 @@ def _sorted_by(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(cols[0]).sortWithinPartitions(*cols)
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 75) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, pct: int = 75, rounds: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id.
 
     Documents with equal shingle sets form a class (class_id: smallest id). Two sets link when
@@ -97,9 +101,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. *Heavy and light.* Sets up to a boundary enumerate all 2-subsets of their 2-extended
        prefix; larger sets (and those that can meet one) post their prefix to inverted lists. The
        boundary is where the summed cost (subsets made against list entries scanned) is least.
-    4. *Links.* Each list first pairs its members with its smallest id and each with its
-       neighbour; pairs are verified exactly and joined to components. Only pairs of one list
-       whose components still differ are then verified. No list is held whole or expanded before.
+    4. *Links.* Sketches of WORDS * 64 parity bits bound the overlap of two sets from above; pairs
+       that they rule out are not verified. Each list first pairs its members with its smallest id and each with its
+       neighbour; pairs are verified exactly and joined to components. In ``rounds`` further
+       rounds, lists that still hold several components are sorted at random and neighbours of
+       different components verified, which joins what is densely linked in linear work. At last
+       all pairs of one list whose components still differ are verified, so that no link is lost.
 
     Null or empty texts have no shingles and link to nothing; rows with a null id stand alone with
     null ids. Repeated rows give repeated rows. Empty tables give no rows; other columns are not
@@ -113,7 +120,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sid", "n"])
 
     table = materialize(thin.mapInArrow(describe, "doc_id long, sid long, n long"), "sets")
-    classes = table.where("n > 0 and doc_id is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
+    classes = table.where("n > 0 and doc_id is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
 
     def prefixes(batches):
         seen: set[int] = set()
@@ -199,6 +206,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.withColumn("p", (F.size("x") - overlap + 1).cast("int")).where("p >= 1")
     sets = materialize(sets.select("rep", "n", "p", F.col("x.h").alias("h"), F.col("x.df").alias("df")), "ordered")
 
+    def sketch(batches):
+        for b in batches:
+            offs, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+            size = np.diff(offs)
+            row = np.repeat(np.arange(b.num_rows), size)
+            bit = (mix(flat[offs[0] : offs[-1]].view(np.uint64)) % np.uint64(64 * WORDS)).astype(np.int64)
+            odd = np.bincount(row * 64 * WORDS + bit, minlength=b.num_rows * 64 * WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, WORDS)
+            rest = b.column(1).to_numpy() - size  # tokens that no other set has
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rest.astype(np.int64)), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]], ["rep", "own", *_SKETCH])
+
+    sketches = materialize(sets.select("rep", "n", "h").mapInArrow(sketch, "rep long, own long, " + ", ".join(f"{c} long" for c in _SKETCH)), "sketches")
+
     boundary = light_boundary(sets)
 
     def postings(batches):
@@ -246,22 +266,42 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posts = materialize(posts, "postings")
     pairs = _sorted_by(posts, "key", "rep").mapInArrow(first_pairs, "a long, b long").distinct()
-    links = materialize(verified(pairs, sets, pct), "links")
-    labels = components(links)
+    labels = materialize(components(verified(plausible(pairs, sketches, sets, pct), sets, pct)), "first-labels")
     marked = posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("label", "rep").alias("label"))
 
+    def open_lists(batches):
+        """The rows of lists whose members are in several components."""
+        for t, st, before, cut in _runs(batches, "key"):
+            label = t.column("label").to_numpy()
+            keep = np.minimum.reduceat(label, st) != np.maximum.reduceat(label, st)
+            keep[0] |= before
+            keep[-1] |= cut
+            yield from t.filter(pa.array(np.repeat(keep, np.diff(np.append(st, len(label)))))).to_batches()
+
+    def dealt_pairs(batches):
+        """Plausible pairs of neighbours of different components in lists sorted at random."""
+        held = np.zeros((5 + WORDS, 0), np.int64)
+        for b in batches:
+            rows = np.concatenate([held, np.stack([b.column(i).to_numpy() for i in range(5 + WORDS)])], axis=1)
+            key, lab, new, got = rows[0], rows[3], held.shape[1], []
+            for d in range(1, NEAR + 1):
+                i = np.arange(max(d, new), len(key))
+                i = i[(key[i] == key[i - d]) & (lab[i] != lab[i - d])]
+                i = i[_may_link(rows[:, i], rows[:, i - d], pct)]
+                got.append(np.stack([rows[2][i - d], rows[2][i], lab[i - d], lab[i]]))
+            yield _labelled(np.concatenate(got, axis=1))
+            held = rows[:, -NEAR:]
+
     def open_pairs(batches):
-        """Pairs of compatible sizes and different components, list by list in order of size.
+        """Plausible pairs of different components, list by list in order of size.
 
         Only the members within the size ratio are held, one row per set."""
-        held: list[np.ndarray] = []
+        held = np.zeros((5 + WORDS, 0), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([b.column(i).to_numpy() for i in range(4)])
-            if held:
-                rows = np.concatenate([held[0], rows], axis=1)
-            start = held[0].shape[1] if held else 0
+            rows = np.concatenate([held, np.stack([b.column(i).to_numpy() for i in range(5 + WORDS)])], axis=1)
+            start = held.shape[1]
             st = _starts(rows[0])
             size = np.diff(np.append(st, rows.shape[1]))
             open_run = np.minimum.reduceat(rows[3], st) != np.maximum.reduceat(rows[3], st)
@@ -269,31 +309,48 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             use = np.repeat(open_run, size)
             start = int(use[:start].sum())
             rows = rows[:, use]
-            key, n, rep, lab = rows
-            out_a, out_b = [], []
+            key, n, rep, lab = rows[:4]
+            out, held_out = [], 0
             lo = np.searchsorted(key, key, "left")
             for i in range(start, len(key)):
                 f = lo[i]
                 if f == i:
                     continue
                 f = f + np.searchsorted(n[f:i] * 100, n[i] * pct, "left")
-                m = lab[f:i] != lab[i]
-                if m.any():
-                    out_a.append(rep[f:i][m])
-                    out_b.append(np.full(int(m.sum()), rep[i]))
-                    if sum(map(len, out_a)) > 200_000:
-                        yield _couples(np.concatenate(out_a), np.concatenate(out_b))
-                        out_a, out_b = [], []
-            if out_a:
-                yield _couples(np.concatenate(out_a), np.concatenate(out_b))
+                m = np.flatnonzero(lab[f:i] != lab[i]) + f
+                m = m[_may_link(rows[:, m], rows[:, i : i + 1], pct)]
+                if len(m):
+                    out.append(np.stack([rep[m], np.full(len(m), rep[i]), lab[m], np.full(len(m), lab[i])]))
+                    held_out += len(m)
+                    if held_out > 200_000:
+                        yield _labelled(np.concatenate(out, axis=1))
+                        out, held_out = [], 0
+            if out:
+                yield _labelled(np.concatenate(out, axis=1))
             f = lo[-1] + np.searchsorted(n[lo[-1] :] * 100, n[-1] * pct, "left")
-            held = [rows[:, f:]]
-
-    rest = _sorted_by(marked, "key", "n", "rep").mapInArrow(open_pairs, "a long, b long").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, pct), "more-links")
-    labels = components(links.unionByName(more))
-    known = table.join(classes, ["sid", "n"], "left").select("doc_id", "n", "rep")
+            held = rows[:, f:]
+
+    kind = "a long, b long, la long, lb long"
+    row = ["key", "n", "rep", "label", "own", *_SKETCH]
+    whole_row = ", ".join(f"{c} long" for c in row)
+    left = materialize(_sorted_by(marked, "key").mapInArrow(open_lists, "key long, n long, rep long, label long").join(sketches, "rep").select(*row), "open")
+    for turn in (*range(1, rounds + 1), None):
+        if turn is None:
+            found = _sorted_by(left, "key", "n", "rep").mapInArrow(open_pairs, kind)
+        else:
+            found = _sorted_by(left.withColumn("o", F.xxhash64("rep", F.lit(turn))), "key", "o").select(*row).mapInArrow(dealt_pairs, kind)
+        links = verified(found.distinct(), sets, pct).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        merged = components(materialize(links, "merges")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = materialize(labels.union(left.select("rep", "label").distinct().withColumnsRenamed({"rep": "node"})).distinct().join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        if turn is not None:
+            left = left.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).select(*row)
+            left = materialize(_sorted_by(left, "key").mapInArrow(open_lists, whole_row), "open")
+
+    # classes that hold a thousandth of all rows are at most 1000: a proven bound for the broadcast
+    heavy = F.col("members") * 1000 >= table.count()
+    named = table.join(F.broadcast(classes.where(heavy).select("sid", "n", F.col("rep").alias("heavy"))), ["sid", "n"], "left")
+    light = named.where("heavy is null").join(classes.where(~heavy).select("sid", "n", "rep"), ["sid", "n"], "left").select("doc_id", "n", "rep")
+    known = light.unionByName(named.where("heavy is not null").select("doc_id", "n", F.col("heavy").alias("rep")))
     return known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"),
@@ -301,6 +358,34 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    thin = sketches.join(sets.select("rep", "n"), "rep")
+    side = lambda x: thin.select([F.col(c).alias(f"{x}{'' if c == 'rep' else c}") for c in thin.columns])
+    total = F.col("an") + F.col("bn")
+    most = total - 2 * -F.floor(-total * pct / (100 + pct))
+    least = F.col("aown") + F.col("bown")
+    for c in _SKETCH:
+        least = least + F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(least <= most).select(*pairs.columns)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, pct: int) -> np.ndarray:
+    """Whether rows (key, n, rep, label, own, sketch) can link: the sets differ in all tokens of their own
+    and at least as many others as the sketches differ in bits, which must leave the overlap needed."""
+    total = x[1] + y[1]
+    fits = np.minimum(x[1], y[1]) * 100 >= np.maximum(x[1], y[1]) * pct
+    differ = x[4] + y[4] + np.bitwise_count(x[5:] ^ y[5:]).sum(axis=0, dtype=np.int64)
+    return fits & (differ <= total - 2 * -(-total * pct // (100 + pct)))
+
+
+def _labelled(rows: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs (a < b) with the components of both."""
+    rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2]], rows)
+    rows = np.unique(rows, axis=1) if rows.shape[1] else rows
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], ["a", "b", "la", "lb"])
+
+
 def _couples(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     m = lo != hi
@@ -339,14 +424,14 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     rows = pairs.join(left, "a").join(right, "b").withColumn("both", both)
-    return rows.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * pct).select("a", "b")
+    return rows.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * pct).select(*pairs.columns)
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components (node, label = smallest node) by label exchange and pointer jumps."""
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"), "labels")
-    for _ in range(most):
+    while True:  # labels only fall, so this ends; in about log2 of the longest path with the jumps
         heard = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
         near = labels.join(heard.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "heard").alias("to"), F.col("label").alias("was"))
         jump = near.join(labels.select(F.col("node").alias("to"), F.col("label").alias("next")), "to", "left")
@@ -354,8 +439,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         moved = new.where("label < was").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
