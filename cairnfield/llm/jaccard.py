@@ -266,7 +266,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posts = materialize(posts, "postings")
     pairs = _sorted_by(posts, "key", "rep").mapInArrow(first_pairs, "a long, b long").distinct()
-    labels = materialize(components(verified(plausible(pairs, sketches, sets, pct), sets, pct)), "first-labels")
+    labels = materialize(components(verified(likeliest(plausible(pairs, sketches, sets, pct)), sets, pct)), "first-labels")
     marked = posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("label", "rep").alias("label"))
 
     def open_lists(batches):
@@ -287,8 +287,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for d in range(1, NEAR + 1):
                 i = np.arange(max(d, new), len(key))
                 i = i[(key[i] == key[i - d]) & (lab[i] != lab[i - d])]
-                i = i[_may_link(rows[:, i], rows[:, i - d], pct)]
-                got.append(np.stack([rows[2][i - d], rows[2][i], lab[i - d], lab[i]]))
+                fits, gap = _may_link(rows[:, i], rows[:, i - d], pct)
+                i = i[fits]
+                got.append(np.stack([rows[2][i - d], rows[2][i], lab[i - d], lab[i], gap[fits]]))
             yield _labelled(np.concatenate(got, axis=1))
             held = rows[:, -NEAR:]
 
@@ -318,9 +319,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 f = f + np.searchsorted(n[f:i] * 100, n[i] * pct, "left")
                 m = np.flatnonzero(lab[f:i] != lab[i]) + f
-                m = m[_may_link(rows[:, m], rows[:, i : i + 1], pct)]
+                fits, gap = _may_link(rows[:, m], rows[:, i : i + 1], pct)
+                m = m[fits]
                 if len(m):
-                    out.append(np.stack([rep[m], np.full(len(m), rep[i]), lab[m], np.full(len(m), lab[i])]))
+                    out.append(np.stack([rep[m], np.full(len(m), rep[i]), lab[m], np.full(len(m), lab[i]), gap[fits]]))
                     held_out += len(m)
                     if held_out > 200_000:
                         yield _labelled(np.concatenate(out, axis=1))
@@ -330,7 +332,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             f = lo[-1] + np.searchsorted(n[lo[-1] :] * 100, n[-1] * pct, "left")
             held = rows[:, f:]
 
-    kind = "a long, b long, la long, lb long"
+    kind = "a long, b long, la long, lb long, gap long"
     row = ["key", "n", "rep", "label", "own", *_SKETCH]
     whole_row = ", ".join(f"{c} long" for c in row)
     left = materialize(_sorted_by(marked, "key").mapInArrow(open_lists, "key long, n long, rep long, label long").join(sketches, "rep").select(*row), "open")
@@ -339,7 +341,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = _sorted_by(left, "key", "n", "rep").mapInArrow(open_pairs, kind)
         else:
             found = _sorted_by(left.withColumn("o", F.xxhash64("rep", F.lit(turn))), "key", "o").select(*row).mapInArrow(dealt_pairs, kind)
-        links = verified(found.distinct(), sets, pct).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+            found = likeliest(found)
+        links = verified(found.select("a", "b", "la", "lb").distinct(), sets, pct).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         merged = components(materialize(links, "merges")).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = materialize(labels.union(left.select("rep", "label").distinct().withColumnsRenamed({"rep": "node"})).distinct().join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         if turn is not None:
@@ -367,23 +370,32 @@ def plausible(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, pct: int)
     least = F.col("aown") + F.col("bown")
     for c in _SKETCH:
         least = least + F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(least <= most).select(*pairs.columns)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(least <= most).select(*pairs.columns, least.alias("gap"))
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, pct: int) -> np.ndarray:
-    """Whether rows (key, n, rep, label, own, sketch) can link: the sets differ in all tokens of their own
-    and at least as many others as the sketches differ in bits, which must leave the overlap needed."""
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs with smaller ids the one of least gap, that with the smallest id and one at
+    random: enough to join what is densely linked. It may leave links out; the last pass finds those."""
+    rest = [c for c in pairs.columns if c not in ("b", "gap")]
+    one = F.struct(*rest)
+    best = pairs.groupBy("b").agg(F.min_by(one, F.struct("gap", "a")).alias("i"), F.min_by(one, "a").alias("j"), F.min_by(one, F.struct(F.xxhash64("a", "b"), "a")).alias("k"))
+    return best.select("b", F.explode(F.array_distinct(F.array("i", "j", "k"))).alias("p")).select("b", "p.*")
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(may link, least difference) of rows (key, n, rep, label, own, sketch): two sets
+    differ in all tokens of their own and in at least as many others as their sketches differ in bits."""
     total = x[1] + y[1]
     fits = np.minimum(x[1], y[1]) * 100 >= np.maximum(x[1], y[1]) * pct
     differ = x[4] + y[4] + np.bitwise_count(x[5:] ^ y[5:]).sum(axis=0, dtype=np.int64)
-    return fits & (differ <= total - 2 * -(-total * pct // (100 + pct)))
+    return fits & (differ <= total - 2 * -(-total * pct // (100 + pct))), differ
 
 
 def _labelled(rows: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs (a < b) with the components of both."""
-    rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2]], rows)
+    """Distinct pairs (a < b) with the components of both and the least difference."""
+    rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2, 4]], rows)
     rows = np.unique(rows, axis=1) if rows.shape[1] else rows
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], ["a", "b", "la", "lb"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], ["a", "b", "la", "lb", "gap"])
 
 
 def _couples(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
