@@ -68,13 +68,13 @@ def records(data: bytes) -> Iterator[dict]:
 
 
 def revisits(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(page_id, digest, refers_to) of pages whose payload a page with a smaller id has."""
+    """(page_id, url, digest, refers_to) of pages whose payload a page with a smaller id has."""
     bytes_ = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    thin = pages.select("page_id", F.sha2(bytes_, 256).alias("digest"), F.length(bytes_).alias("n")).where((F.col("n") >= SMALLEST_REVISITED) & F.col("page_id").isNotNull())
+    thin = pages.select("page_id", "url", F.sha2(bytes_, 256).alias("digest"), F.length(bytes_).alias("n")).where((F.col("n") >= SMALLEST_REVISITED) & F.col("page_id").isNotNull())
     firsts = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("digest", "refers_to")
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = thin.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    return salted.join(firsts, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    return salted.join(firsts, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "url", "digest", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, path: str | None = None) -> str:
@@ -92,9 +92,12 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     path = path or f"{shared_dir(spark)}/cairnfield-warc-{uuid.uuid4().hex}"
     rows = pages.select("page_id", "url", "html")
     again = revisits(rows)
-    rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).join(again, ["page_id", "digest"], "left")
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    rows = rows.select("page_id", "url", "html", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("page"))
+    # thin rows that say what a page revisits travel to it in the same shuffle and come just before it
+    rows = rows.unionByName(again.withColumns({"html": F.lit(None).cast("string"), "page": F.lit(False)}))
     key = F.udf(surt, "string")  # a small helper; the text itself doesn't pass through it
-    rows = rows.withColumn("key", key("url")).repartitionByRange("key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", "page_id")
+    rows = rows.withColumn("key", key("url")).repartitionByRange("key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", "page_id", "page")
 
     def pack(batches):
         from pyspark import TaskContext
@@ -108,8 +111,14 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
             return out("block", f"{part:06d}-{blocks:06d}", lines[0].split(" ")[0], len(lines), zlib.compress("\n".join(lines).encode(), 6))
 
         first_of_segment, held = "", 0
+        told: tuple[int | None, dict[str, int]] = (None, {})
         for b in pieces(batches, "html"):
             for r in b.to_pylist():
+                if not r["page"]:
+                    told = (r["page_id"], (told[1] if told[0] == r["page_id"] else {}) | {r["digest"]: r["refers_to"]})
+                    continue
+                if r["page_id"] is not None and told[0] == r["page_id"]:
+                    r["refers_to"] = told[1].get(r["digest"])
                 data = record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["digest"], r["refers_to"])
                 k = _one_line(r["key"])
                 if not buf:
@@ -128,7 +137,7 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
         if lines:
             yield block()
 
-    rows.select("page_id", "url", "html", "digest", "refers_to", "key").mapInArrow(pack, _SCHEMA).write.partitionBy("kind").parquet(f"{path}/archive")
+    rows.select("page_id", "url", "html", "digest", "refers_to", "key", "page").mapInArrow(pack, _SCHEMA).write.partitionBy("kind").parquet(f"{path}/archive")
     archive = spark.read.schema(_SCHEMA).parquet(f"{path}/archive")
     archive.where("kind = 'block'").select("name", "first_key").write.parquet(f"{path}/directory")
     return path
