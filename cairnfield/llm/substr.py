@@ -10,30 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import _runs, _sorted_by, _starts
-from .textkit import Words, as_signed, grams, lists, mix, pieces
+from .textkit import Words, as_signed, grams, lists, materialize, mix, pieces
 
 
 def _least_of_runs(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions that hold the least value of some run of ``w`` (the last of ties)."""
+    """For each run of ``w`` entries the position of its least value (the last of ties)."""
     if len(h) < w:
         return np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(h[::-1], w)[::-1]
-    return np.unique(np.arange(len(view)) + w - 1 - view.argmin(axis=1))
+    return np.arange(len(view)) + w - 1 - view.argmin(axis=1)
 
 
 def _batch(names, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list(names))
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(doc_id, starts): word positions where a window begins that a smaller doc_id also has.
+def firsts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(d1, d2, doc_id): of documents with one and the same word sequence (128-bit digest) of at least
+    ``window`` words, the smallest id. All words of the others are repeats."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+    def digests(batches):
+        for b in pieces(batches, "text"):
+            words = Words(b.column(1), False)
+            one, two = _digests(words)
+            m = np.diff(words.bounds) >= window
+            yield _batch(("doc_id", "d1", "d2"), b.column(0).to_numpy()[m], as_signed(one[m]), as_signed(two[m]))
+
+    return thin.mapInArrow(digests, "doc_id long, d1 long, d2 long").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's word sequence: sums of word hashes mixed with their positions."""
+    n = np.diff(words.bounds)
+    at = (np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], n)).astype(np.uint64)
+    out = []
+    for key in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        x = mix(mix(words.hash ^ np.uint64(key)) + at * np.uint64(key))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+        out.append(mix(total[words.bounds[1:]] - total[words.bounds[:-1]] + n.astype(np.uint64)))
+    return out[0], out[1]
+
+
+def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(doc_id, starts): word positions where a window begins that a smaller doc_id also has, in the
+    documents of ``first`` (see ``firsts``; the others repeat one of those as a whole).
 
     * Blocks have half the window's words, so that every window holds a whole block of any document.
-    * A lossless sieve first: of every run of consecutive blocks-at-any-offset that a window spans,
-      the one of least hash is a fingerprint. Equal windows have equal fingerprints, so text whose
-      fingerprints are found in one document only can't repeat and isn't probed.
-    * Around shared fingerprints, non-overlapping blocks (offset divisible by the block length) are
-      the index, and every rolling block probes it.
+    * A lossless sieve first: of the blocks at any offset in a window, the one of least hash is its
+      fingerprint. Equal windows have equal fingerprints, so windows whose fingerprint is found in
+      one word sequence only can't repeat and aren't probed.
+    * In windows of shared fingerprints, non-overlapping blocks (offset divisible by the block
+      length) are the index, and every rolling block probes it.
     * Repeated blocks are extended: adjacent ones give window hashes, of which the smallest
       document id keeps its copy. Runs of such windows are the maximal repeats.
     """
@@ -43,34 +71,36 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
 
     def fingerprints(batches):
         for b in pieces(batches, "text"):
-            words, ids = Words(b.column(1), False), b.column(0).to_numpy()
-            g, hs, ds = grams(words.hash, block), [], []
+            words = Words(b.column(1), False)
+            g, (digest, _), hs, ds = grams(words.hash, block), _digests(words), [], []
             for i in range(len(words)):
                 lo, hi = words.bounds[i], words.bounds[i + 1] - block + 1
                 if hi - lo >= span:
                     own = g[lo:hi]
-                    own = np.unique(own[_least_of_runs(own, span)])
+                    own = np.unique(own[np.unique(_least_of_runs(own, span))])
                     hs.append(own)
-                    ds.append(np.full(len(own), ids[i]))
+                    ds.append(np.full(len(own), digest[i]))
             if hs:
-                yield _batch(("h", "doc_id"), as_signed(np.concatenate(hs)), np.concatenate(ds))
+                yield _batch(("h", "d1"), as_signed(np.concatenate(hs)), as_signed(np.concatenate(ds)))
 
     def in_several(batches):
         for t, st, before, cut in _runs(batches, "h"):
-            h, d = t.column("h").to_numpy(), t.column("doc_id").to_numpy()
+            h, d = t.column("h").to_numpy(), t.column("d1").to_numpy()
             size = np.diff(np.append(st, len(h)))
             many = d[st] != d[st + size - 1]
             many[0] |= before
             many[-1] |= cut
             m = np.repeat(many, size)
+            m[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             if m.any():
-                yield _batch(("doc_id", "h"), d[m], h[m])
+                yield _batch(("d1", "h"), d[m], h[m])
 
-    prints = _sorted_by(thin.mapInArrow(fingerprints, "h long, doc_id long"), "h", "doc_id")
-    active = prints.mapInArrow(in_several, "doc_id long, h long").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    prints = _sorted_by(thin.mapInArrow(fingerprints, "h long, d1 long"), "h", "d1")
+    shared = prints.mapInArrow(in_several, "d1 long, h long").groupBy("d1").agg(F.collect_set("h").alias("hs"))
+    active = first.join(shared, "d1").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
 
     def blocks(batches):
-        """Every rolling block near a shared fingerprint: hash, document, word position."""
+        """The rolling blocks at both ends of windows of shared fingerprints: hash, document, word position."""
         for b in pieces(batches, "text"):
             words, ids, hs = Words(b.column(1), False), b.column(0).to_numpy(), b.column(2)
             g = grams(words.hash, block)
@@ -78,16 +108,17 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
             for i in range(len(words)):
                 lo, hi = words.bounds[i], max(words.bounds[i], words.bounds[i + 1] - block + 1)
                 own = g[lo:hi]
-                at = np.flatnonzero(np.isin(own, hs[i].values.to_numpy().view(np.uint64)))
-                near = np.zeros(len(own) + 1, np.int64)
-                np.add.at(near, np.maximum(at - block, 0), 1)
-                np.add.at(near, np.minimum(at + block + 1, len(own)), -1)
-                pos = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                least = _least_of_runs(own, span)
+                at = np.unique(least)
+                ok = np.zeros(len(own), bool)
+                ok[at] = np.isin(own[at], hs[i].values.to_numpy().view(np.uint64))
+                start = np.flatnonzero(ok[least])
+                pos = np.union1d(start, start + (window - block))
                 out_h.append(own[pos])
                 out_p.append(pos)
                 out_d.append(np.full(len(pos), ids[i]))
             if out_h:
-                yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p))
+                yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p).astype(np.int64))
 
     def probe(batches):
         """Repeated blocks, marked where an index block of another document has been hit."""
@@ -151,12 +182,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` consecutive words covers it that also starts in a document
     with a smaller id. Windows are judged on the input. Null and empty texts have no words; rows with
     a null id are never a reference and keep all words; of repeated rows with one id none is the
-    smaller. Empty tables give no rows; other columns are not read. Windows compare by 64-bit hashes.
+    smaller (an id must stand for one text). Empty tables give no rows; other columns are not read. Windows compare by 64-bit hashes,
+    whole word sequences by 128-bit digests.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_windows(docs, id_col, text_col, window)
+    first = firsts(docs, id_col, text_col, window)
+    first = materialize(first, "firsts")
+    found = repeated_windows(docs, first, id_col, text_col, window)
+    found = first.select("doc_id").distinct().join(found, "doc_id", "left").withColumn("first", F.lit(True))
 
     def cut(batches):
         for b in pieces(batches, "text"):
@@ -166,7 +201,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i in range(len(words)):
                 lo, hi = words.bounds[i], words.bounds[i + 1]
                 cover = np.zeros(hi - lo + 1, np.int64)
-                if b.column(2)[i].is_valid:
+                if b.column(0)[i].is_valid and hi - lo >= window and not b.column(3)[i].is_valid:
+                    cover[0], cover[-1] = 1, -1  # a copy as a whole
+                elif b.column(2)[i].is_valid:
                     s = b.column(2)[i].values.to_numpy()
                     s = s[s + window <= hi - lo]
                     np.add.at(cover, s, 1)
@@ -182,5 +219,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append(edge)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists(spans, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept), pa.array(sha)], ["doc_id", "n_words", "spans", "n_removed", "kept_text", "kept_sha256"])
 
-    rows = thin.join(found, "doc_id", "left").select("doc_id", "text", "starts")
+    rows = thin.join(found, "doc_id", "left").select("doc_id", "text", "starts", "first")
     return rows.mapInArrow(cut, "doc_id long, n_words long, spans array<long>, n_removed long, kept_text string, kept_sha256 string")
