@@ -67,7 +67,8 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
     """
     block = window // 2
     span = window - block + 1
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = every.where("doc_id is not null")
 
     def fingerprints(batches):
         for b in pieces(batches, "text"):
@@ -101,7 +102,7 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
 
     def blocks(batches):
         """The rolling blocks at both ends of windows of shared fingerprints: hash, document, word position."""
-        for b in pieces(batches, "text"):
+        for b in pieces((b.filter(b.column(2).is_valid()) for b in batches), "text"):
             words, ids, hs = Words(b.column(1), False), b.column(0).to_numpy(), b.column(2)
             g = grams(words.hash, block)
             out_h, out_d, out_p = [], [], []
@@ -134,7 +135,8 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
             if m.any():
                 yield _batch(("doc_id", "pos", "h", "hit"), d[m], p[m], h[m], np.repeat(hit, size)[m])
 
-    rolling = thin.join(active, "doc_id").select("doc_id", "text", "hs").mapInArrow(blocks, "h long, doc_id long, pos long")
+    # a left join (texts without fingerprints go in blocks), so that the last join reuses this shuffle of texts
+    rolling = every.join(active, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(blocks, "h long, doc_id long, pos long")
     probed = _sorted_by(rolling, "h", "doc_id", "pos").mapInArrow(probe, "doc_id long, pos long, h long, hit boolean")
     by_doc = probed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "hit"))).alias("x"))
 
