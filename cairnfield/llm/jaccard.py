@@ -200,7 +200,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = thin.join(reps.select(F.col("rep").alias("doc_id"), "sid"), "doc_id").select(F.col("doc_id").alias("rep"), "sid", "text")
     ordered = _sorted_by(texts.mapInArrow(whole, "h long, rep long, n long"), "h", "rep").mapInArrow(frequencies, "rep long, n long, df long, h long")
-    sets = ordered.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
+    # two lists made in one pass pair up, and take half the bytes of a list of structs in the shuffle
+    sets = ordered.groupBy("rep", "n").agg(F.collect_list("df").alias("df"), F.collect_list("h").alias("h"))
+    sets = sets.select("rep", "n", F.sort_array(F.arrays_zip("df", "h")).alias("x"))
     overlap = F.floor((F.col("n") * pct + 99) / 100)
     # tokens of one set only come first in the frequency order
     sets = sets.withColumn("p", (F.size("x") - overlap + 1).cast("int")).where("p >= 1")
@@ -222,27 +224,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     boundary = light_boundary(sets)
 
     def postings(batches):
+        """List entries (key, rep, n, component) of each set's prefix (rep, n, p, h, component)."""
         for b in batches:
-            rep, n, p = (b.column(i).to_numpy() for i in range(3))
+            rep, n, p, label = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
             offs, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
-            keys, ids, ns = [], [], []
+            keys, size = [], np.zeros(len(rep), np.int64)
             for i in range(len(rep)):
                 x = flat[offs[i] : offs[i + 1]].view(np.uint64)
-                parts = []
+                parts = [np.zeros(0, np.uint64)]
                 if n[i] <= boundary:
-                    y = x[: p[i] + 1]
-                    one, two = np.triu_indices(len(y), 1)
-                    parts.append(mix(np.minimum(y[one], y[two]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(y[one], y[two])))
+                    one, two = np.triu_indices(len(x), 1)
+                    parts.append(mix(np.minimum(x[one], x[two]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(x[one], x[two])))
                 if n[i] * 100 > boundary * pct:
                     parts.append(x[: p[i]])
-                x = np.concatenate(parts)
-                keys.append(x)
-                ids.append(np.full(len(x), rep[i], np.int64))
-                ns.append(np.full(len(x), n[i], np.int64))
+                keys.append(np.concatenate(parts))
+                size[i] = len(keys[-1])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate(keys))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], ["key", "rep", "n"])
+                key = as_signed(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.repeat(rep, size), np.repeat(n, size), np.repeat(label, size))], ["key", "rep", "n", "label"])
 
-    posts = sets.select("rep", "n", "p", "h").mapInArrow(postings, "key long, rep long, n long")
+    prefix = sets.select("rep", "n", "p", F.slice("h", F.lit(1), F.col("p") + 1).alias("h"))
+    entry = "key long, rep long, n long, label long"
+    posts = prefix.withColumn("label", F.col("rep")).mapInArrow(postings, entry).select("key", "rep", "n")
 
     def first_pairs(batches):
         """(smallest id of the list, member) and (neighbour, member) pairs of compatible sizes."""
@@ -264,10 +267,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             c, cn = np.concatenate([rep, rep]), np.concatenate([n, n])
             yield _pairs(a, an, c, cn, pct)
 
-    posts = materialize(posts, "postings")
     pairs = _sorted_by(posts, "key", "rep").mapInArrow(first_pairs, "a long, b long").distinct()
     labels = materialize(components(verified(likeliest(plausible(pairs, sketches, sets, pct)), sets, pct)), "first-labels")
-    marked = posts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("label", "rep").alias("label"))
+    # components are joined to the sets, not to the far more list entries
+    marked = prefix.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "p", "h", F.coalesce("label", "rep").alias("label"))
+    marked = marked.mapInArrow(postings, entry).select("key", "n", "rep", "label")
 
     def open_lists(batches):
         """The rows of lists whose members are in several components."""
