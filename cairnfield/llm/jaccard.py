@@ -19,6 +19,9 @@ SCAN = 0.005
 WORDS = 4
 NEAR = 4
 _SKETCH = [f"s{i}" for i in range(WORDS)]
+#: Bits of the map of ids that the sieve lets through (2^20 rows of 64 bits at most), and the most ids it serves.
+MAP_BITS = 1 << 26
+MAP_IDS = 1 << 22
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -96,7 +99,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. *Sieve.* In hash order, linked sets share at least m tokens among their first
        n - ceil(pct n / 100) + m. Only those tokens are shuffled; a set goes on if enough of them
        also occur in another set of compatible size.
-    2. *Frequency order.* The sets left are read whole; tokens held by one set only are dropped
+    2. *Frequency order.* The sets left are read whole, picked at the scan by a bitmap of hashed ids
+       of bounded size (beyond MAP_IDS sets by a join instead); tokens held by one set only are dropped
        from lists (but count as misses), the rest is ordered from rare to frequent.
     3. *Heavy and light.* Sets up to a boundary enumerate all 2-subsets of their 2-extended
        prefix; larger sets (and those that can meet one) post their prefix to inverted lists. The
@@ -171,22 +175,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(classes.join(active.select("sid", "n"), ["sid", "n"]), "reps")
 
     def whole(batches):
+        seen: set[int] = set()
         for b in pieces(batches, "text"):
-            rep, sid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            hs, ids, ns = [], [], []
-            for i, s in enumerate(shingle_sets(b.column(2), k)):
-                if set_id(s) == sid[i]:
-                    hs.append(s)
-                    ids.append(np.full(len(s), rep[i], np.int64))
-                    ns.append(np.full(len(s), len(s), np.int64))
+            hs, ids = [], []
+            for s in shingle_sets(b.column(1), k):
+                if len(s) < 3 or (i := set_id(s)) in seen:
+                    continue
+                seen.add(i)
+                hs.append(s)
+                ids.append(np.full(len(s), i, np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate(hs))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], ["h", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate(hs))), pa.array(np.concatenate(ids))], ["h", "sid"])
 
     def frequencies(batches):
         for t, st, before, cut in _runs(batches, "h"):
-            h, rep, n = (t.column(c).to_numpy() for c in ("h", "rep", "n"))
-            first = np.concatenate([[True], (h[1:] != h[:-1]) | (rep[1:] != rep[:-1])])
-            h, rep, n = h[first], rep[first], n[first]
+            h, sid = (t.column(c).to_numpy() for c in ("h", "sid"))
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])
+            h, sid = h[first], sid[first]
             st = _starts(h)
             df = np.diff(np.append(st, len(h)))
             if before:
@@ -196,13 +201,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             df = np.repeat(df, np.diff(np.append(st, len(h))))
             m = df > 1
             if m.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rep[m]), pa.array(n[m]), pa.array(df[m].astype(np.int64)), pa.array(h[m])], ["rep", "n", "df", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[m]), pa.array(df[m].astype(np.int64)), pa.array(h[m])], ["sid", "df", "h"])
 
-    texts = thin.join(reps.select(F.col("rep").alias("doc_id"), "sid"), "doc_id").select(F.col("doc_id").alias("rep"), "sid", "text")
-    ordered = _sorted_by(texts.mapInArrow(whole, "h long, rep long, n long"), "h", "rep").mapInArrow(frequencies, "rep long, n long, df long, h long")
+    texts = holders(thin, reps.select(F.col("rep").alias("doc_id"))).select("doc_id", "text")
+    ordered = _sorted_by(texts.mapInArrow(whole, "h long, sid long"), "h", "sid").mapInArrow(frequencies, "sid long, df long, h long")
     # two lists made in one pass pair up, and take half the bytes of a list of structs in the shuffle
-    sets = ordered.groupBy("rep", "n").agg(F.collect_list("df").alias("df"), F.collect_list("h").alias("h"))
-    sets = sets.select("rep", "n", F.sort_array(F.arrays_zip("df", "h")).alias("x"))
+    sets = ordered.groupBy("sid").agg(F.collect_list("df").alias("df"), F.collect_list("h").alias("h"))
+    # the exact sieve: a bitmap lets a few more sets through
+    sets = sets.join(reps.select("sid", "rep", "n"), "sid").select("rep", "n", F.sort_array(F.arrays_zip("df", "h")).alias("x"))
     overlap = F.floor((F.col("n") * pct + 99) / 100)
     # tokens of one set only come first in the frequency order
     sets = sets.withColumn("p", (F.size("x") - overlap + 1).cast("int")).where("p >= 1")
@@ -365,6 +371,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def holders(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``, and a few others, without a shuffle of ``docs``.
+
+    The ids set bits of a map of fixed size, so that the broadcast is bounded; beyond MAP_IDS ids it
+    would let too much through, and a plain semi-join is used."""
+    if ids.count() > MAP_IDS:
+        return docs.join(ids, "doc_id", "left_semi")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("slot")
+    bits = ids.select(slot).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    placed = docs.select("*", slot).withColumn("word", F.expr("slot div 64"))
+    return placed.join(F.broadcast(bits), "word").where("shiftright(bits, cast(slot % 64 as int)) & 1 = 1").select(*docs.columns)
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) that their sketches do not rule out."""
     thin = sketches.join(sets.select("rep", "n"), "rep")
