@@ -353,7 +353,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = _sorted_by(left.withColumn("o", F.xxhash64("rep", F.lit(turn))), "key", "o").select(*row).mapInArrow(dealt_pairs, kind)
             found = likeliest(found)
         links = verified(found.select("a", "b", "la", "lb").distinct(), sets, pct).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        merged = components(materialize(links, "merges")).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = materialize(labels.union(left.select("rep", "label").distinct().withColumnsRenamed({"rep": "node"})).distinct().join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         if turn is not None:
             left = left.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).select(*row)
@@ -464,6 +464,7 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components (node, label = smallest node) by label exchange and pointer jumps."""
+    links = materialize(links.select("a", "b"), "links")  # read in every round
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     labels = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"), "labels")
     while True:  # labels only fall, so this ends; in about log2 of the longest path with the jumps
