@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from cairnfield.llm import jaccard
 from cairnfield.llm.jaccard import near_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,3 +68,14 @@ def test_null_ids_repeats_and_extra_columns(spark):
 
 def test_empty_table(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_holders_keep_every_wanted_row(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MAP_IDS", most)
+    docs = spark.range(-500, 500).selectExpr("id AS doc_id", "string(id) AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'x'"))
+    wanted = docs.where("doc_id % 7 = 0").select("doc_id")
+    got = {r.doc_id for r in jaccard.holders(docs, wanted).collect()}
+    assert {i for i in range(-500, 500) if i % 7 == 0} <= got
+    assert len(got) <= 144 if most else len(got) == 143
+    assert jaccard.holders(docs, wanted.limit(0)).count() == 0
