@@ -1,4 +1,4 @@
-"""Substring de-duplication with fixed-block anchors."""
+"""Substring de-duplication with blocks of fixed length; a window's anchor is its block of least hash."""
 
 from __future__ import annotations
 
@@ -56,12 +56,12 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
     """(doc_id, starts): word positions where a window begins that a smaller doc_id also has, in the
     documents of ``first`` (see ``firsts``; the others repeat one of those as a whole).
 
-    * Blocks have half the window's words, so that every window holds a whole block of any document.
+    * Blocks have half the window's words, so that a window's first and last block hold all its words.
     * A lossless sieve first: of the blocks at any offset in a window, the one of least hash is its
       fingerprint. Equal windows have equal fingerprints, so windows whose fingerprint is found in
       one word sequence only can't repeat and aren't probed.
-    * In windows of shared fingerprints, non-overlapping blocks (offset divisible by the block
-      length) are the index, and every rolling block probes it.
+    * Of windows of shared fingerprints the first and last block are looked up. Equal windows are
+      chosen in both documents and emit the same two blocks there, whatever their offsets.
     * Repeated blocks are extended: adjacent ones give window hashes, of which the smallest
       document id keeps its copy. Runs of such windows are the maximal repeats.
     """
@@ -122,35 +122,31 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
                 yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p).astype(np.int64))
 
     def probe(batches):
-        """Repeated blocks, marked where an index block of another document has been hit."""
+        """The blocks that several documents have."""
         for t, st, before, cut in _runs(batches, "h"):
             h, d, p = (t.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
             size = np.diff(np.append(st, len(h)))
             many = d[st] != d[st + size - 1]
-            hit = np.add.reduceat((p % block == 0).astype(np.int64), st) > 0
-            for flag in (many, hit):
-                flag[0] |= before
-                flag[-1] |= cut
+            many[0] |= before
+            many[-1] |= cut
             m = np.repeat(many, size)
             if m.any():
-                yield _batch(("doc_id", "pos", "h", "hit"), d[m], p[m], h[m], np.repeat(hit, size)[m])
+                yield _batch(("doc_id", "pos", "h"), d[m], p[m], h[m])
 
     # a left join (texts without fingerprints go in blocks), so that the last join reuses this shuffle of texts
     rolling = every.join(active, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(blocks, "h long, doc_id long, pos long")
-    probed = _sorted_by(rolling, "h", "doc_id", "pos").mapInArrow(probe, "doc_id long, pos long, h long, hit boolean")
-    by_doc = probed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "hit"))).alias("x"))
+    probed = _sorted_by(rolling, "h", "doc_id", "pos").mapInArrow(probe, "doc_id long, pos long, h long")
+    by_doc = probed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("x"))
 
     def extend(batches):
-        """Windows of two adjacent repeated blocks that hold a hit."""
+        """Windows of two adjacent repeated blocks."""
         for b in batches:
             out_h, out_d, out_p = [], [], []
             for i, d in enumerate(b.column(0).to_numpy()):
                 x = b.column(1)[i].values
-                pos, h, hit = (x.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                pos, h = (x.field(j).to_numpy(zero_copy_only=False) for j in range(2))
                 j = np.searchsorted(pos, pos + (window - block))
                 ok = (j < len(pos)) & (pos[np.minimum(j, len(pos) - 1)] == pos + (window - block))
-                hits = np.concatenate([[0], np.cumsum(hit)])
-                ok &= hits[np.minimum(j + 1, len(pos))] > hits[:-1]
                 one = np.flatnonzero(ok)
                 out_h.append(mix(h[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[j[one]].view(np.uint64)))
                 out_d.append(np.full(len(one), d))

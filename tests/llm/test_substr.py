@@ -50,3 +50,18 @@ def test_null_id_repeats_and_empty(spark):
     got = sorted((x.doc_id or 0, x.n_removed) for x in remove_repeats(docs).collect())
     assert got == [(0, 0), (4, 0), (4, 0), (9, 80)]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_short_repeats_of_two_documents(spark):
+    """Each passage is in two documents only, at offsets that no block length divides."""
+    r = random.Random(11)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(240):
+        p = words(50 + k % 24)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(words(25 * r.randrange(4) + r.randrange(1, 25)) + p + words(r.randrange(60)))))
+    want = brute(rows, 50)
+    assert sum(x[1] > 0 for x in want.values()) == 240
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
