@@ -7,11 +7,14 @@ the rows of one side are dealt to their cell, those of the other to the 27 (3D)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.geometry import Vec, cell, distance, region
 from cairnfield.operators.sequence import ORD, Seq
+from cairnfield.plans.storage import materialize
 
 #: Lane colour by lane number (fixed values).
 LANES = {1: "yellow", 2: "blue", 3: "green"}
@@ -63,19 +66,54 @@ def near(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float | None = None, id_col: str = ORD) -> DataFrame:
     """The ``k`` nearest rows of right for each row of left; ties go to the smaller r_ord.
 
-    With a ``radius`` the candidates come from the cell join. Without one, each left row first gets
-    an upper bound: the distance to the nearest of the targets in its own coarse cell or, where
-    that is empty, to one fixed target; right must then be small (a map's landmarks), and the plan
-    is a broadcast of a side whose size is checked.
+    With a ``radius`` the candidates come from the cell join. Without one, the cell join runs in
+    rounds: a row with ``k`` targets within the cell size is settled, as its nearest are among them;
+    for the rows left the cell size doubles, until it spans all points. The first size gives a cell
+    about one target, were they even. A row far from all targets meets many of them in its last round.
+
+    Without a radius, targets without finite coordinates are no candidates; a row of left without
+    them gets the ``k`` smallest r_ord.
     """
     if radius is not None:
-        got = near(left, right, radius)
-    else:
-        n = right.limit(SMALL + 1).count()
-        if n > SMALL:
-            raise ValueError(f"nearest without a radius needs at most {SMALL} targets; give a radius")
-        r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-        got = left.crossJoin(F.broadcast(r)).withColumn("dist", distance(Vec.of(), Vec.of("r_")))
+        return _top(near(left, right, radius), left, k, id_col)
+    finite = F.coalesce(F.abs("x") + F.abs("y") + F.abs("z") < float("inf"), F.lit(False))
+    r = right.where(finite)
+    some = right.select([F.col(c).alias(f"r_{c}") for c in right.columns]).orderBy(f"r_{ORD}").limit(k)
+    blank = left.where(~finite).crossJoin(F.broadcast(some)).withColumn("dist", distance(Vec.of(), Vec.of("r_")))
+    out = _top(blank, left, k, id_col)
+    size, span = _cell_size(left.where(finite), r)
+    rest = left.where(finite)
+    while True:
+        last = size > span
+        got = materialize(_top(near(rest, r, size), left, k, id_col), "nearest")
+        full = (got if last or k == 1 else got.where(F.col("rank") == k)).select(F.col(id_col).alias("__full"))
+        if last:
+            return out.unionByName(got)
+        is_full = F.col(id_col).eqNullSafe(F.col("__full"))
+        out = out.unionByName(got.join(full, is_full, "left_semi"))
+        rest = materialize(rest.join(full, is_full, "left_anti"), "nearest-rest")
+        if rest.isEmpty():
+            return out
+        size *= 2
+
+
+def _cell_size(left: DataFrame, right: DataFrame) -> tuple[float, float]:
+    """The cell size that gives a cell about one row of right, and a bound of all distances."""
+    ends = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    l, r = left.agg(*ends).first(), right.agg(F.count("*").alias("n"), *ends).first()
+    if l["lo_x"] is None or not r["n"]:
+        return 1.0, 0.0
+    span = 1.000001 * math.hypot(*(max(l[f"hi_{c}"], r[f"hi_{c}"]) - min(l[f"lo_{c}"], r[f"lo_{c}"]) for c in "xyz"))
+    sides = sorted(float(r[f"hi_{c}"] - r[f"lo_{c}"]) for c in "xyz")
+    for i in range(3):  # flat sides don't count
+        size = math.prod(x / r["n"] ** (1 / (3 - i)) for x in sides[i:]) ** (1 / (3 - i)) if sides[i] > 0 else 0.0
+        if 0 < size <= sides[i]:
+            return size, span
+    return max(span, 1.0), span
+
+
+def _top(got: DataFrame, left: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The ``k`` pairs of least dist and r_ord of each row of left."""
     if k == 1:  # partial aggregation: no sort, no skew
         cols = [c for c in got.columns if c != id_col]
         best = got.groupBy(id_col).agg(F.min_by(F.struct(*cols), F.struct("dist", f"r_{ORD}")).alias("__b"))
@@ -87,7 +125,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float | None
     return top.select(id_col, *own, F.posexplode("__t").alias("rank", "__e")).select(id_col, *own, (F.col("rank") + 1).alias("rank"), "__e.*")
 
 
-#: Most targets that ``nearest`` broadcasts without a radius.
+#: Most targets that are broadcast where there is no range.
 SMALL = 10_000
 
 

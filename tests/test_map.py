@@ -56,6 +56,30 @@ def test_near_equals_brute_force(spark):
     assert got == {(p[0], q[0]) for p in a for q in b if d(p, q) <= 90.0}
 
 
+def test_nearest_of_many_equals_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    b = r.uniform(0, 900, (10_500, 3)).round(1)
+    b[:9000] = b[:9000] / 30  # most in one corner
+    a = np.concatenate([r.uniform(0, 900, (60, 3)), [[-9000, 40, 0], [9e4, 9e4, 9e4]], b[:3]])
+    left, right = points(spark, [(f"a{i}", *x) for i, x in enumerate(a.tolist())]), points(spark, [(f"b{i}", *x) for i, x in enumerate(b.tolist())])
+    d = np.sqrt(((a[:, None] - b) ** 2).sum(2))
+    want = d.argsort(1, kind="stable")
+    got = {x.ord: (x.r_ord, round(x.dist, 6)) for x in entities.nearest(left, right).collect()}
+    assert got == {i: (want[i, 0], round(d[i, want[i, 0]], 6)) for i in range(len(a))}
+    three = {(x.ord, x["rank"]): x.r_ord for x in entities.nearest(left, right, k=3).collect()}
+    assert three == {(i, k + 1): want[i, k] for i in range(len(a)) for k in range(3)}
+
+
+def test_nearest_without_points(spark):
+    a, one = points(spark, [("a", 1, 2, 3), ("b", 1, 2, 3)]), points(spark, [("z", 1, 2, 3)])
+    assert entities.nearest(a, one.limit(0)).count() == entities.nearest(a.limit(0), one).count() == 0
+    assert {(x.id, x.r_id, x.dist) for x in entities.nearest(a, one, k=2).collect()} == {("a", "z", 0.0), ("b", "z", 0.0)}
+    no_x = a.withColumn("x", F.when(F.col("id") == "a", F.col("x")))
+    assert {(x.id, x.r_id, x.dist) for x in entities.nearest(no_x, one).collect()} == {("a", "z", 0.0), ("b", "z", None)}
+
+
 def seq(spark, values):
     return Seq(spark.createDataFrame(list(enumerate(values)), "ord long, v long"))
 
