@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import pieces
+from .textkit import ROW, pieces, with_row_keys
 
 Q = 8
 #: Edits allowed per character of a benchmark item.
@@ -197,6 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without leaks, with all columns."""
-    gone = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows without leaks, with all columns; ids may be null or repeated."""
+    keyed = with_row_keys(docs)
+    gone = leaks(keyed, benchmark, ROW, text_col).select(F.col("doc_id").alias("__gone")).distinct()
+    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SPACES, materialize
+from .textkit import ROW, SPACES, materialize, with_row_keys
 
 _KEY = ("digest", "n_norm", "check")
 
@@ -60,6 +60,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, whatever their names."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents that stay, with all their columns, whatever their names: one row of each text.
+
+    It is the one with most code points, then the smallest id (null last); of repeated rows one stays.
+    """
+    keyed = with_row_keys(docs, F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    gone = exact_groups(keyed, ROW, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)

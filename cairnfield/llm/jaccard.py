@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, as_signed, grams, materialize, mix, pieces
+from .textkit import ROW, Words, as_signed, grams, materialize, mix, pieces, with_row_keys
 
 #: Lists longer than this share one document frequency (the order stays the same for all sets).
 SATURATED = 1 << 20
@@ -479,6 +479,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays (the smallest id), with all columns."""
-    gone = near_components(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component stays (the smallest id, null last), with all columns."""
+    keyed = with_row_keys(docs, F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    gone = near_components(keyed, ROW, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)

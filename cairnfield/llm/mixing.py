@@ -71,6 +71,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each document's row once per copy, with ``copy_no`` from 1, ``n_copies``."""
-    got = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("n_copies")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(got, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    # copies follow from id and source: rows that share an id but not the source have their own
+    got = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("n_copies"))
+    got = got.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
+    out = docs.join(got, same).drop("__id", "__source")
     return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Regular expression of a word (maximal run of characters that are not ASCII white space).
@@ -37,6 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Column of ``with_row_keys``.
+ROW = "__row_key"
+
+
+def with_row_keys(docs: DataFrame, *order: Column) -> DataFrame:
+    """``docs`` with a unique number for each row (ROW), written out so that it holds in every later read.
+
+    With ``order`` the numbers rise in that order. Decisions made by ROW hold for one row, even where
+    ids are null or occur several times.
+    """
+    if order:
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
