@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows without leaks, with all columns; ids may be null or repeated."""
+    """The rows without leaks, with all columns; ids may be repeated, rows with a null id all stay."""
     keyed = with_row_keys(docs)
-    gone = leaks(keyed, benchmark, ROW, text_col).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = leaks(keyed.where(F.col(id_col).isNotNull()), benchmark, ROW, text_col).select(F.col("doc_id").alias("__gone")).distinct()
     return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
