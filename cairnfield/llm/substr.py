@@ -1,4 +1,4 @@
-"""Substring de-duplication with blocks of fixed length; a window's anchor is its block of least hash."""
+"""Substring de-duplication with anchors: blocks of fixed length at fixed places, probed by rolling blocks."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import _runs, _sorted_by, _starts
+from .jaccard import _runs, _sorted_by
 from .textkit import Words, as_signed, grams, lists, materialize, mix, pieces
 
 
@@ -56,14 +56,19 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
     """(doc_id, starts): word positions where a window begins that a smaller doc_id also has, in the
     documents of ``first`` (see ``firsts``; the others repeat one of those as a whole).
 
-    * Blocks have half the window's words, so that a window's first and last block hold all its words.
+    * Blocks have half the window's words. The reference blocks are the non-overlapping ones (those at
+      multiples of the block's length): every window holds one as a whole.
     * A lossless sieve first: of the blocks at any offset in a window, the one of least hash is its
       fingerprint. Equal windows have equal fingerprints, so windows whose fingerprint is found in
       one word sequence only can't repeat and aren't probed.
-    * Of windows of shared fingerprints the first and last block are looked up. Equal windows are
-      chosen in both documents and emit the same two blocks there, whatever their offsets.
-    * Repeated blocks are extended: adjacent ones give window hashes, of which the smallest
-      document id keeps its copy. Runs of such windows are the maximal repeats.
+    * Every rolling block of the windows left probes the reference blocks: it is a hit if another document
+      has it too and one of them has it as a reference block.
+    * Hits are extended: a window that holds a hit and whose first and last block are shared gives a
+      window hash, of which the smallest document id keeps its copy. Runs of such windows are the
+      maximal repeats.
+
+    What several documents share is told by aggregates with partial sums and joined back, where AQE
+    splits skewed keys, so that no task gets all rows of a frequent passage.
     """
     block = window // 2
     span = window - block + 1
@@ -101,7 +106,7 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
     active = first.join(shared, "d1").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
 
     def blocks(batches):
-        """The rolling blocks at both ends of windows of shared fingerprints: hash, document, word position."""
+        """The rolling blocks of windows of shared fingerprints: hash, document, word position."""
         for b in pieces((b.filter(b.column(2).is_valid()) for b in batches), "text"):
             words, ids, hs = Words(b.column(1), False), b.column(0).to_numpy(), b.column(2)
             g = grams(words.hash, block)
@@ -114,64 +119,47 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
                 ok = np.zeros(len(own), bool)
                 ok[at] = np.isin(own[at], hs[i].values.to_numpy().view(np.uint64))
                 start = np.flatnonzero(ok[least])
-                pos = np.union1d(start, start + (window - block))
+                inside = np.zeros(len(own) + 1, np.int64)
+                np.add.at(inside, start, 1)
+                np.add.at(inside, start + span, -1)
+                pos = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
                 out_h.append(own[pos])
                 out_p.append(pos)
                 out_d.append(np.full(len(pos), ids[i]))
             if out_h:
                 yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p).astype(np.int64))
 
-    def probe(batches):
-        """The blocks that several documents have."""
-        for t, st, before, cut in _runs(batches, "h"):
-            h, d, p = (t.column(c).to_numpy() for c in ("h", "doc_id", "pos"))
-            size = np.diff(np.append(st, len(h)))
-            many = d[st] != d[st + size - 1]
-            many[0] |= before
-            many[-1] |= cut
-            m = np.repeat(many, size)
-            if m.any():
-                yield _batch(("doc_id", "pos", "h"), d[m], p[m], h[m])
-
     # a left join (texts without fingerprints go in blocks), so that the last join reuses this shuffle of texts
     rolling = every.join(active, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(blocks, "h long, doc_id long, pos long")
-    probed = _sorted_by(rolling, "h", "doc_id", "pos").mapInArrow(probe, "doc_id long, pos long, h long")
-    by_doc = probed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("x"))
+    index = rolling.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("pos") % block == 0).alias("anchor")).where("lo < hi")
+    probed = rolling.join(index.select("h", "anchor"), "h").select("doc_id", F.struct(F.when(F.col("anchor"), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"), "h").alias("x"))
+    by_doc = probed.groupBy("doc_id").agg(F.collect_list("x").alias("x"))
 
     def extend(batches):
-        """Windows of two adjacent repeated blocks."""
+        """Windows that hold a hit and whose end blocks are shared; positions without a hit come as -1 - pos."""
         for b in batches:
             out_h, out_d, out_p = [], [], []
             for i, d in enumerate(b.column(0).to_numpy()):
                 x = b.column(1)[i].values
                 pos, h = (x.field(j).to_numpy(zero_copy_only=False) for j in range(2))
+                hit = pos >= 0
+                pos = np.where(hit, pos, -1 - pos)
+                order = np.argsort(pos)
+                pos, h, hit = pos[order], h[order], hit[order]
+                hits = np.concatenate([[0], np.cumsum(hit)])
                 j = np.searchsorted(pos, pos + (window - block))
                 ok = (j < len(pos)) & (pos[np.minimum(j, len(pos) - 1)] == pos + (window - block))
                 one = np.flatnonzero(ok)
+                one = one[hits[j[one] + 1] > hits[one]]
                 out_h.append(mix(h[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[j[one]].view(np.uint64)))
                 out_d.append(np.full(len(one), d))
                 out_p.append(pos[one])
             if out_h:
                 yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p))
 
-    def later(batches):
-        """Windows whose hash a smaller document has; rows come sorted, only one key is remembered."""
-        key = first = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, d, p = (b.column(i).to_numpy() for i in range(3))
-            st = _starts(h)
-            least = d[st].copy()
-            if key is not None and h[0] == key:
-                least[0] = first
-            key, first = h[-1], least[-1]
-            m = d > np.repeat(least, np.diff(np.append(st, len(h))))
-            if m.any():
-                yield _batch(("doc_id", "pos"), d[m], p[m])
-
-    windows = _sorted_by(by_doc.mapInArrow(extend, "h long, doc_id long, pos long"), "h", "doc_id")
-    return windows.mapInArrow(later, "doc_id long, pos long").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    windows = by_doc.mapInArrow(extend, "h long, doc_id long, pos long")
+    first_of = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    return windows.join(first_of, "h").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
