@@ -51,14 +51,25 @@ def corpus(seed, n=160):
     return [*rows, (100_001, ""), (100_002, None), (100_003, " \n"), (100_004, "one"), (100_005, "ONE"), (100_006, "a b c d"), (100_007, "A b  c d"), (100_008, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, boundary", [(1, None), (2, 0), (2, 11), (1, 60), (2, 10**6)])
+def test_components_equal_brute_force(spark, seed, boundary):
+    """By inverted lists alone (0), by subsets alone (over all sizes) and by both."""
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs, boundary=boundary).collect()}
     assert got == brute(rows)
 
 
+def test_boundary_by_cost(spark):
+    """Small sets with long lists are worth subsets; sets with short lists are not."""
+    row = lambda n, p, df: (n, p, list(range(p + 1)), [df] * (p + 1))
+    schema = "n long, p int, h array<long>, df array<long>"
+    small, large = [row(6, 2, 500)] * 400, [row(200, 51, 2)] * 100
+    assert 6 <= jaccard.light_boundary(spark.createDataFrame(small + large, schema)) < 200
+    assert jaccard.light_boundary(spark.createDataFrame(large, schema)) == 0
+    assert jaccard.light_boundary(spark.createDataFrame([], schema)) == 0
+
+
 def test_null_ids_repeats_and_extra_columns(spark):
     t = "a b c d e f g h"
     docs = spark.createDataFrame([(None, t, 1), (5, t, 2), (5, t, 3), (9, t + " i", 4)], "doc_id long, text string, rep int").withColumnRenamed("rep", "label")
