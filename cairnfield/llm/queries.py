@@ -33,8 +33,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc.write_archive(read(spark, sf_dir, "pages"))
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read(spark, sf_dir, "pages")
+    return warc.lookup(spark, warc.write_archive(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:

@@ -78,11 +78,15 @@ def test_token_counts_equal_plain_dp(spark):
     assert tokens.count_tokens(docs.limit(0), scores).count() == 0
 
 
-@pytest.mark.parametrize("url, key", [
-    ("https://blog.Example.com:8080/a?b=1#top", "com,example,blog)/a?b=1"), ("http://www.x.org", "org,x)/"), ("x.org/y", "org,x)/y"), (None, ")/"), ("http://u:p@h.de/", "de,h)/"),
-])
-def test_surt(url, key):
-    assert warc.surt(url) == key
+URLS = {
+    "https://blog.Example.com:8080/a?b=1#top": "com,example,blog)/a?b=1", "http://www.x.org": "org,x)/", "x.org/y": "org,x)/y", None: ")/", "http://u:p@h.de/": "de,h)/",
+    " http://a/x y\n": "a)/x%20y", "http://a/x\tq": "a)/x%09q", "http://www2.a.b?q": "b,a)?q", "": ")/",
+}
+
+
+def test_surt(spark):
+    docs = spark.createDataFrame([(u, k) for u, k in URLS.items()], "u string, k string")
+    assert [r for r in docs.select("u", "k", warc.surt(docs.u).alias("got")).collect() if r.got != r.k] == []
 
 
 def test_warc_round_trip_and_lookup(spark, tmp_path):
@@ -105,8 +109,23 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     got = warc.read_archive(spark, path).collect()
     key = lambda t: tuple(map(str, t))
     assert sorted(map(key, ((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got))) == sorted(map(key, want))
-    for u in (rows[0][1], rows[123][1], "http://h3.example.org/none", "http://a.org/"):
-        hits = warc.lookup(spark, path, u)
-        assert len(hits) == sum(x[1] == u for x in rows)
-        assert all(h["warc-target-uri"] == u for h in hits)
-    assert warc.read_archive(spark, warc.write_archive(pages.limit(0), str(tmp_path / "b"))).count() == 0
+    asked = [rows[0][1], rows[123][1], rows[0][1], "http://h3.example.org/none", "http://a.org/", None, "http://zz.zz/"]
+    hits = warc.lookup(spark, path, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    assert sorted(str(h.page_id) for h in hits) == sorted(str(i) for i, u, _ in rows if u in asked)
+    everything = warc.lookup(spark, path, pages).collect()
+    assert sorted(map(key, everything)) == sorted(map(key, got))
+    none = warc.write_archive(pages.limit(0), str(tmp_path / "b"))
+    assert warc.read_archive(spark, none).count() == 0 and warc.lookup(spark, none, pages).count() == 0
+
+
+def test_lookup_of_urls_with_blanks(spark, tmp_path, monkeypatch):
+    """Blanks are escaped before the keys are sorted; many blocks and rows, one key over several blocks."""
+    monkeypatch.setattr(warc, "LINES", 4)
+    monkeypatch.setattr(warc, "CHUNK", 900)
+    urls = [f"http://a/x{c}{q}" for c in (" ", "!", '"', "#", "\t", "$", "%20", "") for q in "yzq1"] * 3 + ["http://b/"] * 30
+    pages = spark.createDataFrame([(i, u, f"body {i} " * 30) for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(7)
+    path = warc.write_archive(pages, str(tmp_path / "c"))
+    keys = {r.url: r.k for r in pages.select("url", warc.surt(pages.url).alias("k")).distinct().collect()}
+    for u in ("http://a/x!z", 'http://a/x"q', "http://a/x$1", "http://a/x y", "http://b/", "http://a/x#y"):
+        got = warc.lookup(spark, path, spark.createDataFrame([(u,)], "url string")).collect()
+        assert sorted(r.page_id for r in got) == [i for i, x in enumerate(urls) if keys[x] == keys[u]]
