@@ -7,18 +7,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this session and not yet deleted.
+_WRITTEN: dict[str, None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (local tests)."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder if Spark is local, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cairnfield-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read it again."""
+    """Write as Parquet in the shared folder and read it again.
+
+    Cuts lineage so that a lost executor costs at most the stage at hand."""
     path = f"{shared_dir(df.sparkSession)}/cairnfield-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _WRITTEN[path] = None
+    out = df.sparkSession.read.parquet(path)
+    out._written = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; nothing may read them afterwards."""
+    for df in dfs:
+        _delete(df.sparkSession, df._written)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this session has written for results that are no longer needed."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
