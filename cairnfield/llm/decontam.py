@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ROW, pieces, with_row_keys
+from .textkit import ROW, pieces, with_row_keys, without_rows
 
 Q = 8
 #: Edits allowed per character of a benchmark item.
@@ -196,8 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return ids.join(got, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "least_edits")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows without leaks, with all columns; ids may be repeated, rows with a null id all stay."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows without leaks, with all columns; decided row by row, whatever the id (null and repeated ids too)."""
     keyed = with_row_keys(docs)
-    gone = leaks(keyed.where(F.col(id_col).isNotNull()), benchmark, ROW, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
+    gone = leaks(keyed, benchmark, ROW, text_col).select(F.col("doc_id").alias(ROW)).distinct()
+    return without_rows(keyed, gone)

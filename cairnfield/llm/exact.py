@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ROW, SPACES, materialize, with_row_keys
+from .textkit import ROW, SPACES, materialize, with_row_keys, without_rows
 
 _KEY = ("digest", "n_norm", "check")
 
@@ -20,17 +20,18 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     thin = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"))
     return thin.select(
         "doc_id", "n_points", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"),
-        F.length("norm").alias("n_norm"), F.xxhash64("norm").alias("check"),
+        F.length("norm").alias("n_norm"), F.unhex(F.sha2(F.concat(F.lit("check:"), "norm").cast("binary"), 256)).alias("check"),
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 16, fan_in: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Each document belongs to one of ``runs`` runs by a hash of its id. A run holds one row per
-    digest: the best keeper (most code points, then smallest id) and a count. Runs are then merged
-    ``fan_in`` at a time in rounds until one is left; every merge keeps the smallest identifier of
-    equal digests, *verified* by length and a second, independent hash besides SHA-256. The
+    Each document belongs to one of ``runs`` runs by a hash of its id. A run is sorted by digest and
+    holds one row per digest: the best keeper (most code points, then smallest id) and a count. In
+    round k of a binomial tree, run r with bit k set goes to run r - 2^k and the two are merged in digest order
+    (``fan_in`` runs at a time with a larger radix). Every merge retains the smallest identifier of
+    equal digests, *verified* by the length and a second SHA-256 of the text after a prefix. The
     keepers then travel down the tree again, one row per digest and run, so no join key ever has
     more than a run's share of a group of copies.
 
@@ -65,5 +66,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     It is the one with most code points, then the smallest id (null last); of repeated rows one stays.
     """
     keyed = with_row_keys(docs, F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
-    gone = exact_groups(keyed, ROW, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
+    gone = exact_groups(keyed, ROW, text_col).where("not kept").select(F.col("doc_id").alias(ROW))
+    return without_rows(keyed, gone)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ROW, Words, as_signed, grams, materialize, mix, pieces, with_row_keys
+from .textkit import ROW, Words, as_signed, grams, materialize, mix, pieces, release, with_row_keys, without_rows
 
 #: Lists longer than this share one document frequency (the order stays the same for all sets).
 SATURATED = 1 << 20
@@ -475,13 +475,15 @@ def components(links: DataFrame) -> DataFrame:
         jump = near.join(labels.select(F.col("node").alias("to"), F.col("label").alias("next")), "to", "left")
         new = materialize(jump.select("node", F.least("to", F.coalesce("next", "to")).alias("label"), "was"), "labels")
         moved = new.where("label < was").limit(1).count()
-        labels = new.select("node", "label")
+        release(labels)
         if not moved:
-            return labels
+            release(links)
+            return new.select("node", "label")
+        labels = new
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays (the smallest id, null last), with all columns."""
     keyed = with_row_keys(docs, F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
-    gone = near_components(keyed, ROW, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
+    gone = near_components(keyed, ROW, text_col).where("component_id < doc_id").select(F.col("doc_id").alias(ROW)).distinct()
+    return without_rows(keyed, gone)

@@ -69,15 +69,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample: in all about ``most`` documents, as many of each language, by a hash of the id.
 
     Every bit of the codewords is learnt by one logistic regression on hashed n-gram vectors.
-    Held-out rows and null languages are not used; without any there are no languages.
+    Held-out rows, null ids and null languages are not used; without any there are no languages. An id
+    with several languages counts for the first by code point; its repeated rows all count. Null and empty
+    texts are vectors of zeros. Other columns are not read.
     """
     known = docs.where(crc_mod(id_col, fold) != held).where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
     each = max(1, most // len(langs))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))
-    sample = known.where("i is not null").withColumn("__rank", rank).where(F.col("__rank") <= each).select(F.col("i").alias("__id"), F.col("lang").alias("__lang")).dropDuplicates(["__id"])
+    # a threshold from the counts first leaves about 4 * each rows a language to rank
+    share = docs.sparkSession.createDataFrame([(v, min(1.0, 4 * each / n)) for v, n in sizes.items()], "__lang string, __share double")
+    place = F.xxhash64("i")
+    likely = known.where("i is not null").join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(F.shiftrightunsigned(place, 33) < F.col("__share") * float(1 << 31))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(place, 33), "i"))
+    sample = likely.withColumn("__rank", rank).where(F.col("__rank") <= each).groupBy(F.col("i").alias("__id")).agg(F.min("lang").alias("__lang"))
     # at most ``most`` rows (or one a language): a proven bound for the broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
 
@@ -106,7 +113,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per document: doc_id, held_out, lang_pred, score, ambiguous. Only the text is an input.
 
     Texts without a letter (null and empty ones too) are ``und`` with score 0; so are all where no
-    language was learnt. Whole texts are read where they lie, without a shuffle.
+    language was learnt. Null ids and repeated rows are predicted like any other; empty tables give no rows. Whole texts are read where they lie, without a shuffle.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, fold) == held).alias("held_out"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

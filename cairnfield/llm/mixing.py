@@ -56,24 +56,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
-    rates = source_targets(sizes).withColumnRenamed("source", "__source")
-    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    rows = sizes.withColumn("salt", salt).join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("salt") == F.col("__salt")))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = _with_copies(sizes, source_targets(sizes), "doc_id", "source", seed, salts)
+    copies = F.col("__cairnfield_copies")
+    return rows.select(
+        "doc_id", "size", "source", F.col("__cairnfield_r.source_size").alias("source_size"), F.col("__cairnfield_r.target").alias("target"), F.col("__cairnfield_r.rate").alias("rate"),
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+    )
+
+
+def _with_copies(docs: DataFrame, rates: DataFrame, id_col: str, source_col: str, seed: str, salts: int) -> DataFrame:
+    """``docs`` with the row of its source (__cairnfield_r) and its number of copies (__cairnfield_copies)."""
+    salted = rates.select(F.struct("*").alias("__cairnfield_r"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__cairnfield_r_salt"))
+    salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")
+    rows = docs.withColumn("__cairnfield_salt", salt).join(salted, F.col(source_col).eqNullSafe(F.col("__cairnfield_r.source")) & (F.col("__cairnfield_salt") == F.col("__cairnfield_r_salt")))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    whole = F.floor("rate")
-    copies = (whole + (u < F.col("rate") - whole).cast("int")).cast("long")
-    return rows.withColumn("copies", copies).select(
-        "doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-    )
+    rate = F.col("__cairnfield_r.rate")
+    return rows.withColumn("__cairnfield_copies", (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("long")).drop("__cairnfield_salt", "__cairnfield_r_salt")
+
 
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", salts: int = 16) -> DataFrame:
+    """The mixed corpus: each row once per copy, with ``copy_no`` from 1 and ``n_copies``.
 
-def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: each document's row once per copy, with ``copy_no`` from 1, ``n_copies``."""
-    # copies follow from id and source: rows that share an id but not the source have their own
-    got = mix(docs, id_col, text_col, source_col).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("n_copies"))
-    got = got.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    out = docs.join(got, same).drop("__id", "__source")
-    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))
+    Decided row by row as in ``mix``: rows that share an id but not the source have their own rates. Where
+    ``docs`` has a column of one of the two names, the new one gets ``_`` appended."""
+    sizes = docs.select(F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    rows = _with_copies(docs, source_targets(sizes), id_col, source_col, seed, salts).where("__cairnfield_copies > 0")
+    names = {c: next(n for n in (c + "_" * k for k in range(99)) if n not in docs.columns) for c in ("n_copies", "copy_no")}
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__cairnfield_copies").alias(names["n_copies"]), F.explode(F.sequence(F.lit(1), F.col("__cairnfield_copies").cast("int"))).alias(names["copy_no"]))

@@ -1,9 +1,7 @@
-"""Shared word kernels: NumPy over Arrow string buffers, and shared-storage materialisation."""
+"""Shared word kernels: NumPy over Arrow string buffers, and row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.plans.storage import materialize, release, shared_dir
+
+__all__ = ["ROW", "SPACES", "WORD", "Words", "as_signed", "crc_mod", "grams", "lists", "materialize", "mix", "pieces", "read", "release", "shared_dir", "with_row_keys", "without_rows"]
+
 #: Regular expression of a word (maximal run of characters that are not ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]"
@@ -25,20 +27,8 @@ _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder of ``spark.checkpoint.dir`` and read it back.
-
-    Cuts lineage so that a lost executor costs at most the stage at hand. Where the setting is
-    absent (local tests), it is set once to a temporary folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairnfield-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-#: Column of ``with_row_keys``.
-ROW = "__row_key"
+#: Column of ``with_row_keys``. Names that begin with ``__cairnfield_`` are reserved in tables given to stages.
+ROW = "__cairnfield_row"
 
 
 def with_row_keys(docs: DataFrame, *order: Column) -> DataFrame:
@@ -52,13 +42,9 @@ def with_row_keys(docs: DataFrame, *order: Column) -> DataFrame:
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="cairnfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``with_row_keys`` less those whose number is in ``gone`` (one column, ROW)."""
+    return keyed.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def as_signed(h: np.ndarray) -> np.ndarray:

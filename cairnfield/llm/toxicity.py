@@ -40,12 +40,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     worth its log-count ratio r = log((p+1)/(P+2) / (q+1)/(Q+2)); a logistic regression weighs them.
     Sample weights restore the labels' share among all labelled rows. Rows of the held-out fold,
     null ids and null labels are not used; of several labels for one id the largest counts; without
-    rows of both labels the score is the constant share of label 1.
+    rows of both labels the score is the constant share of label 1 (about 0 without any).
     """
     labelled = labels.where(crc_mod("doc_id", fold) != held).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     share = {r["__toxic"]: r["n"] for r in labelled.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     if not share.get(0) or not share.get(1):
-        rate = 0.5 if not share else float(share.get(1, 0) > 0)
+        rate = float(share.get(1, 0) > 0)
         return Model(np.zeros(1 << BITS, np.uint16), np.zeros(1, np.float32), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     by_hash = lambda v: labelled.where(F.col("__toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = by_hash(0).unionByName(by_hash(1)).withColumnRenamed("doc_id", "__id")

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -37,6 +39,52 @@ def test_toxicity_held_out(spark):
     assert none.count() == len(rows) and toxicity.score(docs.limit(0), toxicity.train(docs, lab)).count() == 0
 
 
+def plain_grams(text, orders, bits):
+    """Hashed n-grams one by one, in plain integers."""
+    c = [ord(x) for x in f" {text.lower()} "]
+    out = []
+    for k in orders:
+        for i in range(len(c) - k + 1):
+            h = 0
+            for x in c[i : i + k]:
+                h = ((h ^ x) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append((((h + k) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def test_scores_equal_plain_python(spark):
+    """Scores of fitted models, feature by feature."""
+    r = random.Random(6)
+    texts = [" ".join(r.choices(CLEAN + BAD * (i % 2), k=r.randrange(1, 40))) for i in range(200)] + ["", "É vile ÑANDÚ", None]
+    docs = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(any(b in (t or "") for b in BAD))) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    m = toxicity.train(docs, labels)
+    for x in toxicity.score(docs, m).collect():
+        found = {int(m.slot[g]) for g in plain_grams(texts[x.doc_id] or "", toxicity.ORDERS, toxicity.BITS)} - {0}
+        want = 1 / (1 + math.exp(-(m.bias + sum(float(m.weight[f]) for f in sorted(found)))))
+        assert math.isclose(x.score, want, rel_tol=1e-4)
+    m = langid.train(docs)
+    for x in langid.identify(docs, m).collect():
+        if x.lang_pred == "und":
+            continue
+        c = Counter(plain_grams(texts[x.doc_id], langid.ORDERS, langid.BITS))
+        size = math.sqrt(sum(c.values()))
+        bits = [sum(math.sqrt(n) / size * float(m.w[g, j]) for g, n in c.items()) + float(m.b[j]) for j in range(m.code.shape[1])]
+        loss = [sum(float(w) * math.log1p(math.exp(-f * int(s))) for f, s, w in zip(bits, row, m.bit_weight, strict=True)) for row in m.code]
+        p = [math.exp(min(loss) - v) for v in loss]
+        assert x.lang_pred == m.langs[p.index(max(p))] and math.isclose(x.score, max(p) / sum(p), rel_tol=1e-3)
+
+
+def test_languages_of_a_large_one_and_of_repeated_ids(spark):
+    rows = [(i, "der die das und", "de") for i in range(3000)] + [(i, "the and of to", "en") for i in range(9000, 9020)] + [(4000, "der die", "zz"), (4000, "der die", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, most=40)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, m).collect()}
+    assert m.langs == ["aa", "de", "en", "zz"] and got[2999] == "de" and got[9001] == "en"
+    assert (langid.train(docs, most=40).w == langid.train(docs.repartition(9), most=40).w).all()
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 7, 8, 30):
         c = langid.codewords(k).astype(int)

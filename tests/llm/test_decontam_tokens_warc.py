@@ -48,11 +48,22 @@ def test_decontamination_equals_brute_force(spark):
         if i is not None:
             assert (got[i].item_ids, got[i].contaminated) == (want, bool(want)), i
     kept = decontam.drop_leaks(docs, bench)
-    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in rows if i is None or not got[i].contaminated}
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _ in rows if i is not None and not got[i].contaminated)  # the null id leaks
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_trie_is_shared_over_batches():
+    c = tokens.Counter({"▁t": -1.0, "he": -1.5, "▁the": -2.0, "s": -3.0, "is": -3.5})
+    c.insert({"▁the"})
+    made, n = [], len(c.best)
+    forward = c.forward
+    c.forward = lambda w, i, path: made.append(w[:i]) or forward(w, i, path)
+    c.insert({"▁thesis", "▁the", "▁them"})
+    assert sorted(made) == ["▁them", "▁thes", "▁thesi", "▁thesis"] and len(c.best) == n + 4
+    assert c.terminal["▁the"] == 1 and c.terminal["▁thesis"] == viterbi(c, "▁thesis") and c.terminal["▁them"] == viterbi(c, "▁them")
+
+
 def viterbi(c, w):
     best = [(0.0, 0)]
     for i in range(1, len(w) + 1):
