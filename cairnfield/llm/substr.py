@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,34 @@ def _least_of_runs(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _batch(names, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list(names))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], list(names))
+
+
+_ROW = "h long, doc_id long, pos int, more array<int>"
+
+
+class _Rows:
+    """Rows (h, doc_id, pos, more) of blocks or windows: one a hash and document, whatever its number of places.
+
+    ``more`` holds the places besides the first, null if there are none: a line repeated all over a
+    text is one row."""
+
+    def __init__(self):
+        self.parts: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def add(self, h: np.ndarray, doc: int, pos: np.ndarray) -> None:
+        order = np.lexsort((pos, h))
+        h, pos = h[order], pos[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        st = np.flatnonzero(first)
+        self.parts.append((h[st], np.full(len(st), doc), pos[st], np.diff(np.append(st, len(h))) - 1, pos[~first]))
+
+    def batch(self) -> pa.RecordBatch:
+        h, doc, pos, more, rest = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(more)]).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest.astype(np.int32)), mask=pa.array(more == 0))
+        return _batch(("h", "doc_id", "pos", "more"), as_signed(h), doc, pos.astype(np.int32), others)
 
 
 def firsts(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -67,8 +95,8 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
       window hash, of which the smallest document id keeps its copy. Runs of such windows are the
       maximal repeats.
 
-    What several documents share is told by aggregates with partial sums and joined back, where AQE
-    splits skewed keys, so that no task gets all rows of a frequent passage.
+    What several documents share is told by aggregates with partial sums and joined back; a document
+    sends one row a hash, however often it holds the block.
     """
     block = window // 2
     span = window - block + 1
@@ -110,7 +138,7 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
         for b in pieces((b.filter(b.column(2).is_valid()) for b in batches), "text"):
             words, ids, hs = Words(b.column(1), False), b.column(0).to_numpy(), b.column(2)
             g = grams(words.hash, block)
-            out_h, out_d, out_p = [], [], []
+            rows = _Rows()
             for i in range(len(words)):
                 lo, hi = words.bounds[i], max(words.bounds[i], words.bounds[i + 1] - block + 1)
                 own = g[lo:hi]
@@ -123,27 +151,28 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
                 np.add.at(inside, start, 1)
                 np.add.at(inside, start + span, -1)
                 pos = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-                out_h.append(own[pos])
-                out_p.append(pos)
-                out_d.append(np.full(len(pos), ids[i]))
-            if out_h:
-                yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p).astype(np.int64))
+                rows.add(own[pos], ids[i], pos)
+            yield rows.batch()
 
     # a left join (texts without fingerprints go in blocks), so that the last join reuses this shuffle of texts
-    rolling = every.join(active, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(blocks, "h long, doc_id long, pos long")
-    index = rolling.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("pos") % block == 0).alias("anchor")).where("lo < hi")
-    probed = rolling.join(index.select("h", "anchor"), "h").select("doc_id", F.struct(F.when(F.col("anchor"), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"), "h").alias("x"))
+    rolling = every.join(active, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(blocks, _ROW)
+    aligned = F.col("pos") % block == 0
+    rolling = rolling.withColumn("anchor", F.when(F.col("more").isNull(), aligned).otherwise(aligned | F.exists("more", lambda p: p % block == 0)))
+    index = rolling.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("anchor").alias("anchor")).where("lo < hi")
+    probed = rolling.drop("anchor").join(index.select("h", "anchor"), "h").select("doc_id", F.struct("h", "pos", "more", "anchor").alias("x"))
     by_doc = probed.groupBy("doc_id").agg(F.collect_list("x").alias("x"))
 
     def extend(batches):
-        """Windows that hold a hit and whose end blocks are shared; positions without a hit come as -1 - pos."""
+        """Windows that hold a hit and whose end blocks are shared."""
         for b in batches:
-            out_h, out_d, out_p = [], [], []
+            rows = _Rows()
             for i, d in enumerate(b.column(0).to_numpy()):
                 x = b.column(1)[i].values
-                pos, h = (x.field(j).to_numpy(zero_copy_only=False) for j in range(2))
-                hit = pos >= 0
-                pos = np.where(hit, pos, -1 - pos)
+                h, pos, hit = (x.field(j).to_numpy(zero_copy_only=False) for j in (0, 1, 3))
+                more = pc.fill_null(pc.list_value_length(x.field(2)), 0).to_numpy()
+                if more.any():
+                    pos = np.concatenate([pos, x.field(2).flatten().to_numpy()])
+                    h, hit = (np.concatenate([v, np.repeat(v, more)]) for v in (h, hit))
                 order = np.argsort(pos)
                 pos, h, hit = pos[order], h[order], hit[order]
                 hits = np.concatenate([[0], np.cumsum(hit)])
@@ -151,15 +180,12 @@ def repeated_windows(docs: DataFrame, first: DataFrame, id_col: str, text_col: s
                 ok = (j < len(pos)) & (pos[np.minimum(j, len(pos) - 1)] == pos + (window - block))
                 one = np.flatnonzero(ok)
                 one = one[hits[j[one] + 1] > hits[one]]
-                out_h.append(mix(h[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[j[one]].view(np.uint64)))
-                out_d.append(np.full(len(one), d))
-                out_p.append(pos[one])
-            if out_h:
-                yield _batch(("h", "doc_id", "pos"), as_signed(np.concatenate(out_h)), np.concatenate(out_d), np.concatenate(out_p))
+                rows.add(mix(h[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h[j[one]].view(np.uint64)), d, pos[one])
+            yield rows.batch()
 
-    windows = by_doc.mapInArrow(extend, "h long, doc_id long, pos long")
+    windows = by_doc.mapInArrow(extend, _ROW)
     first_of = windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return windows.join(first_of, "h").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    return windows.join(first_of, "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("pos").alias("one"), F.flatten(F.collect_list("more")).alias("more")).select("doc_id", F.concat("one", "more").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
