@@ -149,6 +149,45 @@ def look_at(eye: Vec, target: Vec) -> Column:
     return F.struct(pitch.alias("pitch"), yaw.alias("yaw"))
 
 
+def rotation(pitch: Column, yaw: Column, roll: Column) -> list[Vec]:
+    """Columns of the rotation yaw, then pitch, then roll (degrees): the axes of the turned frame."""
+    sp, cp, sy, cy, sr, cr = (f(F.radians(a)) for a in (pitch, yaw, roll) for f in (F.sin, F.cos))
+    return [
+        Vec(cp * cy, cp * sy, -sp),
+        Vec(sr * sp * cy - cr * sy, sr * sp * sy + cr * cy, sr * cp),
+        Vec(cr * sp * cy + sr * sy, cr * sp * sy - sr * cy, cr * cp),
+    ]
+
+
+def in_oriented_box(p: Vec, origin: Vec, angles: tuple[Column, Column, Column], low: Vec, high: Vec) -> Column:
+    """Inside a box given in the frame of an origin and angles, faces included."""
+    d = p - origin
+    inside = [d.dot(axis).between(getattr(low, c), getattr(high, c)) for c, axis in zip("xyz", rotation(*angles), strict=True)]
+    return inside[0] & inside[1] & inside[2]
+
+
+def view_axes(pitch: Column, yaw: Column, roll: Column) -> tuple[Vec, Vec, Vec]:
+    """Forward, right and up of a camera."""
+    p, y, r = (F.radians(a) for a in (pitch, yaw, roll))
+    forward = Vec(F.cos(p) * F.cos(y), F.cos(p) * F.sin(y), -F.sin(p))
+    right = Vec(F.sin(y), -F.cos(y), F.lit(0.0))
+    up = right.cross(forward)
+    return forward, right.scale(F.cos(r)) - up.scale(F.sin(r)), up.scale(F.cos(r)) + right.scale(F.sin(r))
+
+
+def transformed_bounds(m: list[float], low: Vec, high: Vec) -> tuple[Vec, Vec]:
+    """Least and greatest coordinates of the eight corners of a box after a transform."""
+    corners = [transform_point(m, Vec(x, y, z)) for x in (low.x, high.x) for y in (low.y, high.y) for z in (low.z, high.z)]
+    pick = lambda f: Vec(*(f(*[getattr(c, a) for c in corners]) for a in "xyz"))
+    return pick(F.least), pick(F.greatest)
+
+
+def centroid(points: Column) -> Column:
+    """Mean of a list of points."""
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[c]) / F.size(points)
+    return F.when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y"), mean("z").alias("z")))
+
+
 # rings ---------------------------------------------------------------------------------------
 
 
@@ -187,6 +226,19 @@ def path_measure(points: Column) -> Column:
     )
 
 
+def rings_overlap(a: Column, b: Column) -> Column:
+    """Two rings share area: edges cross, or one holds the other's first vertex (XY)."""
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+    def cross(e: Column, f: Column) -> Column:
+        one = F.signum(turn(f["a"], f["b"], e["a"])) * F.signum(turn(f["a"], f["b"], e["b"]))
+        two = F.signum(turn(e["a"], e["b"], f["a"])) * F.signum(turn(e["a"], e["b"], f["b"]))
+        return (one < 0) & (two < 0)
+
+    inside = point_in_ring(a[0]["x"], a[0]["y"], b) | point_in_ring(b[0]["x"], b[0]["y"], a)
+    return F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: cross(e, f))) | inside
+
+
 def segments_cross(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
     """Two XY segments cross or touch."""
     turn = lambda p, q, r: F.signum((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnfield.functions.geometry import point_in_ring, ring_area
+from cairnfield.functions.geometry import point_in_ring, ring_area, rings_overlap
 from cairnfield.operators.entities import near, near_duplicates
 from cairnfield.operators.sequence import ORD
 
@@ -78,7 +78,33 @@ def _issues(rows: DataFrame, code: str, message: Column | str, severity: str = "
 
 
 def repeated_vertex(ring: Column) -> Column:
-    return F.size(F.array_distinct(ring)) < F.size(ring)
+    """Two vertices in a row, the last and the first too, are equal in XY."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return (F.size(ring) > 1) & F.exists(F.arrays_zip(ring.alias("a"), after.alias("b")), lambda e: (e["a"]["x"] == e["b"]["x"]) & (e["a"]["y"] == e["b"]["y"]))
+
+
+def overlapping_regions(regions: DataFrame, floor_tolerance: float = 64.0, size: float = 1024.0) -> DataFrame:
+    """(a_id, b_id): regions (ord, id, flag, floor_z, ring) of one flag and about one floor whose rings overlap, each pair once.
+
+    Regions meet by the cells that their boxes overlap."""
+    span = lambda c: F.explode(F.sequence(F.floor(F.array_min(F.transform("ring", lambda p: p[c])) / size), F.floor(F.array_max(F.transform("ring", lambda p: p[c])) / size)))
+    r = regions.where(F.size("ring") >= 3).select(ORD, "id", "flag", "floor_z", "ring", span("x").alias("ix")).withColumn("iy", span("y"))
+    a, b = r.alias("a"), r.alias("b")
+    met = a.join(b, ["ix", "iy", "flag"]).where(F.col(f"a.{ORD}") < F.col(f"b.{ORD}")).where(F.abs(F.col("a.floor_z") - F.col("b.floor_z")) < floor_tolerance)
+    return met.where(rings_overlap(F.col("a.ring"), F.col("b.ring"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
+
+
+def history(records: DataFrame, status: str | None = None, kind: str | None = None, text: str | None = None) -> DataFrame:
+    """Records, newest activity first (review, else submission; ties by id), filtered by status, kind and text.
+
+    The text is looked for, ignoring case, in id, name (else kind), submitter, reviewer, comment and submission_id."""
+    rows = records if status is None else records.where(F.col("status") == status)
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    rows = rows.withColumn("label", F.coalesce("name", "kind"))
+    if text and text.strip():
+        hay = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("id", "label", "submitter", "reviewer", "comment", "submission_id")]
+        rows = rows.where(reduce(lambda a, b: a | b, [F.contains(h, F.lit(text.strip().lower())) for h in hay]))
+    return rows.orderBy(F.coalesce("reviewed_at", "submitted_at", F.lit("")).desc(), "id")
 
 
 def self_intersects(ring: Column) -> Column:
@@ -103,15 +129,16 @@ def validate(records: DataFrame, low: tuple[float, float, float], high: tuple[fl
     """Issues: record_id, severity, code, message. One query a rule, in one union."""
     out_of = reduce(lambda a, b: a | b, [~F.col(c).between(lo - margin, hi + margin) for c, lo, hi in zip("xyz", low, high, strict=True)])
     twice = records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    live = records.where("status not in ('rejected', 'stale')")
-    close = [near_duplicates(live.where(F.col("kind") == k), r).select(F.col("b_id").alias("id"), F.col("a_id")) for k, r in radii.items()]
+    # the earlier record is flagged; the later one must be live (a null status is)
+    dead = records.where("status in ('rejected', 'stale')").select(F.col("id").alias("b_id")).distinct()
+    close = [near_duplicates(records.where(F.col("kind") == k), r).join(dead, "b_id", "left_anti").select(F.col("a_id").alias("id"), F.col("b_id")) for k, r in radii.items()]
     rules = [
         _issues(twice, "duplicate-id", F.format_string("id used %d times", "n")),
         _issues(records.where(F.coalesce(out_of, F.lit(False))), "out-of-bounds", "outside the map"),
         _issues(records.where(F.size("ring") >= 3).where(ring_area(F.col("ring")) < min_area), "polygon-no-area", "the ring has no area"),
         _issues(records.where(repeated_vertex(F.col("ring"))), "polygon-repeated-vertex", "a vertex comes twice"),
         _issues(records.where(~repeated_vertex(F.col("ring")) & self_intersects(F.col("ring"))), "polygon-self-intersects", "two edges meet"),
-        *[_issues(c, "duplicate-nearby", F.concat(F.lit("near "), F.col("a_id").cast("string"))) for c in close],
+        *[_issues(c, "duplicate-nearby", F.concat(F.lit("near "), F.col("b_id").cast("string"))) for c in close],
     ]
     return reduce(DataFrame.unionByName, rules)
 

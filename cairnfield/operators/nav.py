@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.geometry import Vec, distance
-from cairnfield.operators.entities import SMALL, near
+from cairnfield.operators.entities import SMALL, near, nearest
 from cairnfield.operators.sequence import ORD
 from cairnfield.plans.storage import materialize
 
@@ -85,9 +85,10 @@ def snap(points: DataFrame, polygons: DataFrame, reach: float = MAX_SNAP) -> Dat
 def relaxed_field(edges_: DataFrame, sources: DataFrame) -> DataFrame:
     """(field, pid, cost): least cost from any source of a field (field, pid) to each polygon.
 
-    Rounds of relaxation: only costs that fell in the last round are sent along the edges. Each
+    Sources on polygons without edges (blocked ones have none) start nothing. Rounds of relaxation: only costs that fell in the last round are sent along the edges. Each
     round is written to shared storage, so that lineage stays short and a lost executor is cheap."""
-    state = materialize(sources.select("field", "pid").distinct().withColumns({"cost": F.lit(0.0), "fell": F.lit(True)}), "field")
+    open_ = edges_.select(F.col("a").alias("pid")).union(edges_.select(F.col("b").alias("pid"))).distinct()
+    state = materialize(sources.select("field", "pid").distinct().join(open_, "pid", "left_semi").withColumns({"cost": F.lit(0.0), "fell": F.lit(True)}), "field")
     while True:
         sent = state.where("fell").join(edges_.withColumnRenamed("cost", "step"), F.col("pid") == F.col("a")).select("field", F.col("b").alias("pid"), (F.col("cost") + F.col("step")).alias("new"))
         heard = sent.groupBy("field", "pid").agg(F.min("new").alias("new"))
@@ -143,7 +144,7 @@ def kernel_fields(edges_: DataFrame, sources: DataFrame) -> DataFrame:
                 inside = (at < len(pids)) & (pids[np.minimum(at, len(pids) - 1)] == own) if len(pids) else np.zeros(len(own), bool)
                 best, _ = dijkstra(start, to, cost, at[inside].tolist())
                 ok = np.isfinite(best)
-                p, c = np.concatenate([pids[ok], own[~inside]]), np.concatenate([best[ok], np.zeros(int((~inside).sum()))])
+                p, c = pids[ok], best[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), field, np.int64)), pa.array(p), pa.array(c)], ["field", "pid", "cost"])
 
     return fields.select(F.col("field").cast("long"), F.col("pids").cast("array<long>")).mapInArrow(run, "field long, pid long, cost double")
@@ -183,15 +184,11 @@ def travel_times(points: DataFrame, fields: DataFrame, polygons: DataFrame) -> D
 
 def within_time(points: DataFrame, sources: DataFrame, polygons: DataFrame, edges_: DataFrame, limit: float) -> DataFrame:
     """The points that the quickest of all sources reaches within ``limit`` seconds."""
-    start = snap(sources, polygons, SNAP_ALL).select(F.lit(0).cast("long").alias("field"), "pid")
-    got = travel_times(points, kernel_fields(edges_, start), polygons).where(F.col("cost") <= limit)
+    start = nearest(sources.select(ORD, "x", "y", "z"), centroids(polygons).withColumn(ORD, F.col("pid"))).select(F.lit(0).cast("long").alias("field"), F.col("r_pid").alias("pid"))
+    got = travel_times(points, relaxed_field(edges_, start), polygons).where(F.col("cost") <= limit)
     return points.join(got.select(ORD).distinct(), ORD, "left_semi")
 
 
-#: Sources snap at any distance; cells this wide hold a whole map.
-SNAP_ALL = 1e7
-
-
 def quickest(points: DataFrame, fields: DataFrame, polygons: DataFrame) -> DataFrame:
     """For each point the field of least cost, ties to the smaller field."""
     got = travel_times(points, fields, polygons)
@@ -213,7 +210,7 @@ def mesh_components(links: DataFrame) -> DataFrame:
 
 
 def straight_detours(costs: DataFrame, points: DataFrame, walk: float, factor: float) -> DataFrame:
-    """Pairs (a_ord < b_ord) at least ``factor`` times as far to walk as to fly; costs: (a, b, seconds)."""
+    """Pairs (a_ord < b_ord) over ``factor`` times as far to walk as to fly; costs: (a, b, seconds)."""
     p = points.select(ORD, "x", "y", "z")
     if p.limit(SMALL + 1).count() > SMALL:
         raise ValueError(f"at most {SMALL} points")
@@ -221,7 +218,7 @@ def straight_detours(costs: DataFrame, points: DataFrame, walk: float, factor: f
     b = p.select([F.col(c).alias(f"b_{c}") for c in p.columns])
     got = costs.join(a, F.col("a") == F.col(f"a_{ORD}")).join(b, F.col("b") == F.col(f"b_{ORD}")).where(F.col(f"a_{ORD}") < F.col(f"b_{ORD}"))
     fly = distance(Vec.of("a_"), Vec.of("b_"))
-    return got.select(f"a_{ORD}", f"b_{ORD}", (F.col("seconds") * walk).alias("walk"), fly.alias("fly")).where(F.col("walk") >= F.col("fly") * factor)
+    return got.select(f"a_{ORD}", f"b_{ORD}", (F.col("seconds") * walk).alias("walk"), fly.alias("fly")).where(F.col("walk") > F.col("fly") * factor)
 
 
 def mantle_links(links: DataFrame, drop: tuple[float, float] = (48.0, 1600.0)) -> DataFrame:

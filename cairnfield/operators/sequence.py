@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnfield.plans.storage import materialize
+
 ORD = "ord"
 
 
@@ -32,6 +34,18 @@ def dense_index(df: DataFrame, order: str = ORD, name: str = "idx", buckets: int
     return ranked.withColumn(name, (F.col("__rank") + F.col("__before")).cast("long")).drop("__bucket", "__rank", "__b", "__before")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Add the sum of ``value`` over the rows before in ``order``: by ranges, as in ``dense_index``."""
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    dealt = df.withColumn("__bucket", bucket)
+    sums = dealt.groupBy(F.col("__bucket").alias("__b")).agg(F.sum(value).alias("__n"))  # at most ``buckets`` rows
+    before = sums.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy("__bucket").orderBy(order)) - F.col(value)
+    out = dealt.withColumn("__own", own).join(F.broadcast(before), F.col("__bucket") == F.col("__b"))
+    return out.withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__bucket", "__own", "__b", "__before")
+
+
 class Seq:
     """A lazy ordered sequence of rows. ``ord`` is unique and numeric; ``keys`` are pending sort keys."""
 
@@ -60,18 +74,20 @@ class Seq:
         return Seq(df.select(ORD, *f(F.col("idx"))))
 
     def select_many(self, items: Column, name: str = "item") -> Seq:
-        """Flatten an array; the order is that of (row, position), packed in one number."""
-        df = self.settled().df.select("*", F.posexplode(items).alias("__pos", name))
-        top = 1 << 20
-        fits = F.when(F.col("__pos") < top, F.col(ORD) * top + F.col("__pos")).otherwise(F.raise_error(F.lit("a row has over 2^20 items")))
-        return Seq(df.withColumn(ORD, fits).drop("__pos"))
+        """Flatten an array in order of (row, position): an item's place is its position after the items of all rows before."""
+        df = self.settled().df
+        sizes = df.select(F.col(ORD).alias("__row"), F.coalesce(F.array_size(items), F.lit(0)).alias("__size"))
+        starts = running_total(sizes, "__row", "__size", "__start")
+        got = df.join(starts.select("__row", "__start"), F.col(ORD) == F.col("__row")).select("*", F.posexplode(items).alias("__pos", name))
+        return Seq(got.withColumn(ORD, F.col("__start") + F.col("__pos")).drop("__pos", "__row", "__start"))
 
     def concat(self, other: Seq) -> Seq:
         """This sequence, then the other one (positions after this one's largest)."""
-        top = self.settled().df.agg((F.coalesce(F.max(ORD), F.lit(-1)) + 1).alias("__top"))
-        low = other.settled().df.agg(F.min(ORD).alias("__low"))
-        moved = other.settled().df.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(low))  # one row each
-        return self._new(self.settled().df.unionByName(moved.withColumn(ORD, F.col(ORD) - F.col("__low") + F.col("__top")).drop("__top", "__low"), allowMissingColumns=True))
+        own, more = self.settled().df, other.settled().df
+        top = own.agg((F.coalesce(F.max(ORD), F.lit(-1)) + 1).alias("__top"))
+        low = more.agg(F.min(ORD).alias("__low"))
+        moved = more.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(low))  # one row each
+        return self._new(own.unionByName(moved.withColumn(ORD, F.col(ORD) - F.col("__low") + F.col("__top")).drop("__top", "__low"), allowMissingColumns=True))
 
     def distinct(self, *key: Column | str) -> Seq:
         """The first row of each key, by the order. Partial aggregation first, so hot keys do no harm."""
@@ -104,8 +120,9 @@ class Seq:
         """Pending sort keys made into a new ``ord``."""
         if not self.keys:
             return self
-        rank = F.row_number().over(Window.orderBy(*self.keys, F.col(ORD).asc())) - 1
-        return self._new(self.df.withColumn(ORD, rank.cast("long")))
+        # range partitions of the keys, each sorted by itself; a task's rows get numbers above those of all tasks before
+        placed = self.df.repartitionByRange(*self.keys, F.col(ORD).asc()).sortWithinPartitions(*self.keys, F.col(ORD).asc())
+        return self._new(materialize(placed.withColumn(ORD, F.monotonically_increasing_id()), "ordered"))
 
     def take(self, n: int) -> Seq:
         """The first ``n``; a top-k, not a full sort."""

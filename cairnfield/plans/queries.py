@@ -7,6 +7,7 @@ lane are derived from their columns, over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,17 +148,34 @@ def min_and_max(spark: SparkSession, d: str) -> DataFrame:
     return s.min("o_totalprice").select(F.col(ORD).alias("least")).crossJoin(s.max("o_totalprice").select(F.col(ORD).alias("most")))  # one row each
 
 
-@_query(f"WITH {_C} SELECT count(*) AS n, coalesce(sum(x), 0) > 0 AS some, bool_or(z > 690) AS any_high, bool_and(z >= 0) AS all_up FROM c")
+@_query(f"WITH {_C} SELECT count(*) AS n, count(*) FILTER (kind = 'BUILDING') AS buildings, sum(y) AS total, bool_or(z > 690) AS any_high, bool_or(z > 900) AS any_higher, bool_and(z >= 0) AS all_up, bool_and(z > 5) AS all_over_5 FROM c")
 def scalars(spark: SparkSession, d: str) -> DataFrame:
-    return customers(spark, d).agg(F.count("*").alias("n"), (F.coalesce(F.sum("x"), F.lit(0.0)) > 0).alias("some"), F.coalesce(F.bool_or(F.col("z") > 690), F.lit(False)).alias("any_high"), F.coalesce(F.bool_and(F.col("z") >= 0), F.lit(True)).alias("all_up"))
+    s = Seq(customers(spark, d))
+    z = F.col("z")
+    parts = [
+        s.count().withColumnRenamed("count", "n"), s.count(F.col("kind") == "BUILDING").withColumnRenamed("count", "buildings"), s.sum("y").withColumnRenamed("sum", "total"),
+        s.any(z > 690).withColumnRenamed("any", "any_high"), s.any(z > 900).withColumnRenamed("any", "any_higher"), s.all(z >= 0).withColumnRenamed("all", "all_up"), s.all(z > 5).withColumnRenamed("all", "all_over_5"),
+    ]
+    return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
-@_query("SELECT l_orderkey, CAST(floor(count(*)) AS INT) AS n_points, CAST(max(l_linenumber) AS INT) AS last FROM lineitem GROUP BY l_orderkey")
+#: Line numbers repeat within an order, so price and quantity take part in the order.
+_LINE = "(l_linenumber * 100000000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) * 1000 + CAST(l_quantity AS BIGINT))"
+_ITEMS = f"SELECT l_orderkey AS path_id, {_LINE} AS ord, l_quantity AS x, l_extendedprice / 100 AS y, l_discount * 100 AS z FROM lineitem"
+
+
+@_query(f"""WITH p AS ({_ITEMS}), d AS (SELECT path_id, ord, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM p WINDOW w AS (PARTITION BY path_id ORDER BY ord))
+SELECT path_id, count(*) AS n_points, round(coalesce(sum(sqrt(dx*dx+dy*dy+dz*dz)), 0), 3) AS distance, round(coalesce(sum(sqrt(dx*dx+dy*dy)), 0), 3) AS ground, round(coalesce(sum(dz), 0), 3) + 0.0 AS rise FROM d GROUP BY path_id""")
 def routes_of_points(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as the points of a route: the measure of each, by its number of points."""
-    p = F.struct(F.col("l_linenumber").alias("o"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"), F.col("l_discount").alias("z"))
-    r = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(p)).alias("pts"))
-    return r.where(path_measure(F.col("pts"))["distance"] >= 0).select("l_orderkey", F.size("pts").alias("n_points"), F.element_at("pts", -1)["o"].alias("last"))
+    """Line items as the points of a route: 3D length, ground length and rise of each."""
+    p = F.struct(ORD, "x", "y", "z")
+    r = items(spark, d).groupBy("path_id").agg(F.sort_array(F.collect_list(p)).alias("pts")).select("path_id", F.size("pts").cast("long").alias("n_points"), path_measure(F.col("pts")).alias("m"))
+    return r.select("path_id", "n_points", *[(F.round(f"m.{c}", 3) + 0.0).alias(c) for c in ("distance", "ground", "rise")])
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as points along the path of their order."""
+    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path_id"), F.expr(_LINE).alias(ORD), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_discount") * 100).alias("z"))
 
 
 @_query(
@@ -170,11 +188,11 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("id", in_box(Vec.of(), (2000, 1000, 0), (6000, 9000, 300)).alias("in_box"), point_in_ring(F.col("x"), F.col("y"), ring).alias("in_ring"))
 
 
-@_query(f"WITH {_S} SELECT id, abs((x * (y + 10) - (x + 20) * y) + ((x + 20) * (y + 10) - x * (y + 10)) + (x * y - x * (y + 10))) / 2 > 0 AS has_area FROM s")
-def ring_has_area(spark: SparkSession, d: str) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
-    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 20, y), (x, y + 10))])
-    return suppliers(spark, d).select("id", (ring_area(ring) > 0).alias("has_area"))
+@_query(f"WITH {_S} SELECT id, round(abs(x * (y + z) - (x + 20) * y + (x + 20) * (y + 10) - x * (y + z) + x * y - x * (y + 10)) / 2, 3) AS area FROM s")
+def ring_areas(spark: SparkSession, d: str) -> DataFrame:
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 20, y + z), (x, y + 10))])
+    return suppliers(spark, d).select("id", F.round(ring_area(ring), 3).alias("area"))
 
 
 @_query(f"WITH {_S}, h AS (SELECT id, degrees(atan2(100 - y, 200 - x)) AS a, degrees(-atan2(300 - z, sqrt((200-x)*(200-x)+(100-y)*(100-y)))) AS p FROM s) SELECT id, floor(p * 1000 + 0.5) / 1000 AS pitch, CASE WHEN floor(a * 1000 + 0.5) < 0 THEN floor(a * 1000 + 0.5) / 1000 + 360 ELSE floor(a * 1000 + 0.5) / 1000 END AS yaw FROM h")
@@ -230,3 +248,6 @@ def unique_ids(spark: SparkSession, d: str) -> DataFrame:
 def cells_and_distances(spark: SparkSession, d: str) -> DataFrame:
     r = region(Vec.of(), 512.0)
     return customers(spark, d).select("id", cell(F.col("x"), 512.0).alias("ix"), F.split(r["key"], ",")[1].alias("iy"), half_up(distance(Vec.of(), Vec.at(0, 0, 0)), 3).alias("from_origin"))
+
+
+from cairnfield.plans import scene_queries  # noqa: E402, F401  (registers the rest)

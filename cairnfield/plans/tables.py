@@ -5,13 +5,14 @@ Geometry columns are arrays of doubles (a point), or arrays of those (segment, p
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, NumericType, StringType, StructType
 
-from cairnfield.operators.sequence import ORD
+from cairnfield.operators.sequence import ORD, dense_index
 
 ROW_CAP = 100_000
 
@@ -85,10 +86,16 @@ def text_filter(df: DataFrame, column: str, query: str) -> Column:
     return F.contains(F.lower(cell_text(c, kind)), F.lit(q.lower()))
 
 
+def _padded(digits: Column, width: int) -> Column:
+    """Zeros up to ``width``; longer runs stay whole, after all shorter ones by their length in front."""
+    long = F.length(digits) > width
+    return F.when(long, F.concat(F.lit("~"), F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(F.lpad(digits, width, "0"))
+
+
 def natural_key(c: Column, width: int = 20) -> Column:
     """A text key that sorts digit runs by value, ignoring case: runs are padded with zeros."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), width, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), _padded(F.regexp_replace(r, r"^0+(?=\d)", ""), width)).otherwise(r)), "")
 
 
 @dataclass(frozen=True)
@@ -159,6 +166,36 @@ def geojson_features(df: DataFrame) -> DataFrame:
     return df.select(ORD, F.posexplode(F.array_compact(F.array(*features))).alias("part", "feature"))
 
 
+def with_row_ids(df: DataFrame, entity: str | None = None) -> DataFrame:
+    """``row_id``: the id of the row's entity if it has one, else its position."""
+    placed = dense_index(df, name="__at")
+    ident = F.col("__at").cast("string") if entity is None else F.coalesce(F.col(entity).cast("string"), F.col("__at").cast("string"))
+    return placed.withColumn("row_id", ident).drop("__at")
+
+
+def file_name(kind: str, provisional: bool) -> str:
+    """Name of an exported file; CSV has no other place to say that a result is provisional."""
+    ending = {"csv": "csv", "json": "json", "geojson": "geojson", "annotations": "annotations.json"}[kind]
+    return f"query-result{'.provisional' if provisional else ''}.{ending}"
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One JSON array a row (column ``line``), its cells in column order and nulls kept."""
+    cells = [F.coalesce(F.regexp_replace(F.to_json(F.array(F.col(f"`{c}`")), {"ignoreNullFields": "false"}), r"^\[|\]$", ""), F.lit("null")) for c in df.columns if c != ORD]
+    return df.select(ORD, F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line"))
+
+
+def json_header(df: DataFrame, provisional: bool, **meta: str) -> str:
+    """What stands around the rows of a JSON export: columns, and the metadata given."""
+    kinds = column_types(df)
+    columns = [{"name": c, "type": k} for c, k in kinds.items() if c != ORD]
+    return json.dumps({"columns": columns, "metadata": {"provisional": provisional} | meta}, sort_keys=True, separators=(",", ":"))
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def unique_ids(df: DataFrame, base: str) -> Column:
     """The base id, then base#2, base#3 ... in order."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(ORD))
