@@ -256,7 +256,7 @@ def interior_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH p AS (SELECT c_custkey AS ord, c_acctbal + 0.013 AS x, ((c_custkey * 7919) % 10000)::DOUBLE + 0.017 AS y FROM customer), {_S}
-SELECT ord, 0.0 AS from_z, EXISTS (SELECT 1 FROM s WHERE {_INSIDE} AND s.z >= 300 AND s.z <= 900) AS blocked FROM p""")
+SELECT ord, 0.0::DOUBLE AS from_z, EXISTS (SELECT 1 FROM s WHERE {_INSIDE} AND s.z >= 300 AND s.z <= 900) AS blocked FROM p""")
 def occluded_segments(spark: SparkSession, d: str) -> DataFrame:
     """Upright segments from 300 to 900 that a level surface cuts."""
     p = customers(spark, d).select(F.col(ORD).alias("ray"), *[F.col(c).alias(f"{s}{c}") for s in "ab" for c in "xy"], F.lit(300.0).alias("az"), F.lit(900.0).alias("bz"))
@@ -281,12 +281,12 @@ def fans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""WITH g AS (SELECT i, j, 100 + (1000 - 2 * 300) / 2 + i * 300 AS x, (500 - 0 * 300) / 2 + j * 300 AS y FROM range(3) a(i), range(1) b(j)), y AS (SELECT unnest([0.0, 90.0, 180.0, 270.0]) AS yaw)
-SELECT printf('grid-r%03dc%03d-y%03d', j, i, yaw::INT) AS id, printf('grid-r%03dc%03d', j, i) AS "group", x::DOUBLE AS x, y::DOUBLE AS y, 64.0 AS z, 0.0 AS pitch, yaw::DOUBLE AS yaw FROM g, y""")
+SELECT printf('grid-r%03dc%03d-y%03d', j, i, yaw::INT) AS id, printf('grid-r%03dc%03d', j, i) AS "group", x::DOUBLE AS x, y::DOUBLE AS y, 64.0::DOUBLE AS z, 0.0::DOUBLE AS pitch, yaw::DOUBLE AS yaw FROM g, y""")
 def shot_grid(spark: SparkSession, d: str) -> DataFrame:
     return grids.grid_plan(spark, (100.0, 0.0, 1100.0, 500.0), 300.0, 64.0)
 
 
-@_query("""WITH y AS (SELECT unnest([0.0, 120.0, 240.0]) AS yaw) SELECT printf('ring-%03d-y%03d', r_regionkey + 1, yaw::INT) AS id, printf('ring-%03d', r_regionkey + 1) AS "group", r_regionkey * 1.5 AS x, 2.0 AS y, 3.0 AS z, 5.0 AS pitch, yaw::DOUBLE AS yaw FROM region, y""")
+@_query("""WITH y AS (SELECT unnest([0.0, 120.0, 240.0]) AS yaw) SELECT printf('ring-%03d-y%03d', r_regionkey + 1, yaw::INT) AS id, printf('ring-%03d', r_regionkey + 1) AS "group", (r_regionkey * 1.5)::DOUBLE AS x, 2.0::DOUBLE AS y, 3.0::DOUBLE AS z, 5.0::DOUBLE AS pitch, yaw::DOUBLE AS yaw FROM region, y""")
 def shot_rings(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias(ORD), (F.col("r_regionkey") * 1.5).cast("double").alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))
     return grids.ring_plan(p, 3, 5.0)
@@ -323,7 +323,7 @@ def _reached(sources: str) -> str:
     return f"r AS (SELECT pid, 0 AS n FROM f WHERE pid IN ({sources}) UNION SELECT e.b, n + 1 FROM r JOIN e ON e.a = r.pid WHERE n < 40), t AS (SELECT pid, min(n) / 2.0 AS cost FROM r GROUP BY pid)"
 
 
-@_query(f"WITH RECURSIVE {_STEPS} SELECT a, b, 0.5 AS cost FROM e")
+@_query(f"WITH RECURSIVE {_STEPS} SELECT a, b, 0.5::DOUBLE AS cost FROM e")
 def mesh_edges(spark: SparkSession, d: str) -> DataFrame:
     return _board_edges(spark, d)
 
