@@ -188,6 +188,39 @@ def centroid(points: Column) -> Column:
     return F.when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y"), mean("z").alias("z")))
 
 
+# nearest points ------------------------------------------------------------------------------
+
+
+def closest_on_segment(p: Vec, a: Vec, b: Vec) -> Vec:
+    """The point of the segment a to b nearest to p."""
+    d = b - a
+    t = F.when(d.dot(d) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p - a).dot(d) / F.nullif(d.dot(d), F.lit(0.0))))).otherwise(F.lit(0.0))
+    return a + d.scale(t)
+
+
+def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
+    """(d2, x, y, z): the point of a triangle nearest to p and its squared distance.
+
+    The foot of the perpendicular where that lies inside, else the nearest point of the three sides."""
+    at = lambda q: F.struct((p - q).dot(p - q).alias("d2"), q.x.alias("x"), q.y.alias("y"), q.z.alias("z"))
+    e1, e2, w = b - a, c - a, p - a
+    n = e1.cross(e2)
+    k = F.nullif(n.dot(n), F.lit(0.0))
+    u, v = w.cross(e2).dot(n) / k, e1.cross(w).dot(n) / k
+    sides = F.least(*[at(closest_on_segment(p, *s)) for s in ((a, b), (b, c), (c, a))])
+    return F.when((u >= 0) & (v >= 0) & (u + v <= 1), at(a + e1.scale(u) + e2.scale(v))).otherwise(sides)
+
+
+def inner_gap(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
+    """Squared distance of the segments a to b and c to d where their nearest points are inside of both, else null."""
+    e, f, r = b - a, d - c, a - c
+    det = F.nullif(e.dot(e) * f.dot(f) - e.dot(f) * e.dot(f), F.lit(0.0))
+    s = (e.dot(f) * f.dot(r) - e.dot(r) * f.dot(f)) / det
+    t = (e.dot(e) * f.dot(r) - e.dot(f) * e.dot(r)) / det
+    gap = r + e.scale(s) - f.scale(t)
+    return F.when(s.between(0.0, 1.0) & t.between(0.0, 1.0), gap.dot(gap))
+
+
 # rings ---------------------------------------------------------------------------------------
 
 

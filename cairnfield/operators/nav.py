@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.geometry import Vec, distance
-from cairnfield.operators.entities import SMALL, near, nearest
+from cairnfield.operators.entities import SMALL, near
+from cairnfield.operators.grids import fan_triangles
 from cairnfield.operators.sequence import ORD
+from cairnfield.operators.surfaces import closest_points
 from cairnfield.plans.storage import materialize
 
 #: Speeds in units a second (fixed values): a hero walks 7 m/s, a zipline runs 15 m/s, mantling and
@@ -74,12 +76,58 @@ def edges(polygons: DataFrame, links: DataFrame | None = None, walk: float = WAL
     return out.groupBy("a", "b").agg(F.min("cost").alias("cost"))
 
 
+def mesh_triangles(polygons: DataFrame) -> DataFrame:
+    """The fan triangles of the polygons as a soup; tid is (pid, k)."""
+    corner = [F.col(f"{n}.{c}").alias(n + c) for n in "abc" for c in "xyz"]
+    return fan_triangles(polygons).select(F.struct("pid", "k").alias("tid"), *corner)
+
+
 def snap(points: DataFrame, polygons: DataFrame, reach: float = MAX_SNAP) -> DataFrame:
-    """The polygon of each point (ord, pid, gap): by XY containment and height, else the nearest centroid
-    within ``reach``. Ties go to the smaller pid."""
-    c = centroids(polygons)
-    got = near(points.select(ORD, "x", "y", "z"), c.withColumn(ORD, F.col("pid")), reach)
-    return got.groupBy(ORD).agg(F.min_by(F.struct("r_pid", "dist"), F.struct("dist", "r_pid")).alias("s")).select(ORD, F.col("s.r_pid").alias("pid"), F.col("s.dist").alias("gap"))
+    """The nearest point of the mesh within ``reach`` of each point: ord, pid, gap, x, y, z. Ties go to the
+    smaller pid, then to the earlier triangle of its fan.
+
+    The search widens by doubling, from the mean extent of a triangle: what is found within a width is
+    the nearest, and only the points left go on."""
+    tri = mesh_triangles(polygons)
+    extent = F.greatest(*[F.greatest(f"a{c}", f"b{c}", f"c{c}") - F.least(f"a{c}", f"b{c}", f"c{c}") for c in "xy"])
+    width = max(tri.agg(F.avg(extent)).first()[0] or reach, reach / 4096)
+    rest, found = points.select(ORD, "x", "y", "z"), None
+    while True:
+        got = closest_points(rest, tri, min(width, reach)).select(ORD, "tid.pid", F.col("distance").alias("gap"), "x", "y", "z")
+        got = materialize(got, "snap")
+        found = got if found is None else found.unionByName(got)
+        if width >= reach:
+            return found
+        rest = materialize(rest.join(got, ORD, "left_anti"), "snap-rest")
+        if rest.isEmpty():
+            return found
+        width *= 2
+
+
+def walkable(segments: DataFrame, polygons: DataFrame, blocked: DataFrame | None = None, step: float = 32.0, tolerance: float = 24.0) -> DataFrame:
+    """(ray, walkable) of segments (ray, ax.. to bx..): whether all samples, ``step`` apart at most, lie within
+    ``tolerance`` of the mesh and nearest to a polygon that is not ``blocked`` (pid)."""
+    a, b = Vec.of("a"), Vec.of("b")
+    s = segments.withColumn("n", F.greatest(F.lit(1), F.ceil(distance(a, b) / step).cast("int")))
+    at = a.lerp(b, F.col("i") / F.col("n"))
+    samples = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select(F.struct("ray", "i").alias(ORD), at.x.alias("x"), at.y.alias("y"), at.z.alias("z"))
+    got = snap(samples, polygons, tolerance)
+    if blocked is not None:
+        got = got.join(blocked.select("pid").distinct(), "pid", "left_anti")
+    ok = got.groupBy(F.col(f"{ORD}.ray").alias("ray")).agg(F.count("*").alias("ok"))
+    return s.select("ray", "n").join(ok, "ray", "left").select("ray", (F.coalesce("ok", F.lit(0)) == F.col("n") + 1).alias("walkable"))
+
+
+def island_links(polygons: DataFrame, components: DataFrame, most: int = 400, reach: float = 200.0, rise: float = 96.0) -> DataFrame:
+    """(from_pid, to_pid, kind, bidirectional): one link from each piece (pid, component) of at most ``most``
+    polygons to the nearest polygon of a larger piece within ``reach`` and ``rise`` of height, by centroids.
+    Polygons without a component are pieces of their own."""
+    piece = polygons.select("pid").join(components, "pid", "left").select("pid", F.coalesce("component", "pid").alias("component"))
+    small = piece.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    c = centroids(polygons).join(piece, "pid").withColumn(ORD, F.col("pid"))
+    pairs = near(c.join(small, "component", "left_semi"), c.join(small, "component", "left_anti"), reach).where(F.abs(F.col("z") - F.col("r_z")) <= rise)
+    best = pairs.groupBy("component").agg(F.min_by(F.struct("pid", "r_pid"), F.struct("dist", "pid", "r_pid")).alias("l"))
+    return best.select(F.col("l.pid").alias("from_pid"), F.col("l.r_pid").alias("to_pid"), F.lit("navConnection").alias("kind"), F.lit(True).alias("bidirectional"))
 
 
 def relaxed_field(edges_: DataFrame, sources: DataFrame) -> DataFrame:
@@ -184,7 +232,7 @@ def travel_times(points: DataFrame, fields: DataFrame, polygons: DataFrame) -> D
 
 def within_time(points: DataFrame, sources: DataFrame, polygons: DataFrame, edges_: DataFrame, limit: float) -> DataFrame:
     """The points that the quickest of all sources reaches within ``limit`` seconds."""
-    start = nearest(sources.select(ORD, "x", "y", "z"), centroids(polygons).withColumn(ORD, F.col("pid"))).select(F.lit(0).cast("long").alias("field"), F.col("r_pid").alias("pid"))
+    start = snap(sources, polygons).select(F.lit(0).cast("long").alias("field"), "pid")
     got = travel_times(points, relaxed_field(edges_, start), polygons).where(F.col("cost") <= limit)
     return points.join(got.select(ORD).distinct(), ORD, "left_semi")
 

@@ -34,11 +34,11 @@ def triangle_normal() -> Vec:
     return (_corner("b") - a).cross(_corner("c") - a).normalized()
 
 
-def in_cells(triangles: DataFrame, size: float) -> DataFrame:
-    """A row for each XY cell that a triangle's box overlaps, with its normal."""
+def in_cells(triangles: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """A row for each XY cell that a triangle's box, widened by ``pad``, overlaps, with its normal."""
     n = triangle_normal()
     t = triangles.withColumns({"nx": n.x, "ny": n.y, "nz": n.z})
-    span = lambda c: F.sequence(cell(F.least(f"a{c}", f"b{c}", f"c{c}"), size), cell(F.greatest(f"a{c}", f"b{c}", f"c{c}"), size))
+    span = lambda c: F.sequence(cell(F.least(f"a{c}", f"b{c}", f"c{c}") - pad, size), cell(F.greatest(f"a{c}", f"b{c}", f"c{c}") + pad, size))
     return t.withColumn("ix", F.explode(span("x"))).withColumn("iy", F.explode(span("y")))
 
 

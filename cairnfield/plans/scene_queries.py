@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import geometry as G
 from cairnfield.functions import text as T
 from cairnfield.functions.geometry import Vec
-from cairnfield.operators import grids, lanes, metadata, nav, rays
+from cairnfield.operators import grids, lanes, metadata, nav, rays, surfaces
 from cairnfield.operators.entities import near
 from cairnfield.operators.sequence import ORD, Seq
 from cairnfield.plans import tables
@@ -297,6 +297,63 @@ def shots_near(spark: SparkSession, d: str) -> DataFrame:
     return grids.shots_near(suppliers(spark, d), (3000.0, 4000.0, 300.0), 4000.0).select("id", F.round("dist", 6).alias("dist"))
 
 
+#: Squared ground distance of (dx, dy), seen from the right angle, to such a triangle.
+_GAP2 = """CASE WHEN dx >= 0 AND dy >= 0 AND dx + dy <= 1500 THEN 0.0 ELSE least(
+ (dx - least(greatest(dx, 0), 1500)) ** 2 + dy ** 2, dx ** 2 + (dy - least(greatest(dy, 0), 1500)) ** 2,
+ (dx - 1500 + 1500 * least(greatest((dy - dx + 1500) / 3000, 0), 1)) ** 2 + (dy - 1500 * least(greatest((dy - dx + 1500) / 3000, 0), 1)) ** 2) END"""
+_GAPS = f"o AS (SELECT c.ord, c.z, s.id, s.z AS sz, c.x - s.x AS dx, c.y - s.y AS dy FROM c, s), g AS (SELECT ord, z, id, sz, {_GAP2} AS d2 FROM o)"
+
+
+@_query(f"WITH {_C}, {_S}, {_GAPS}, h AS (SELECT ord, id, sqrt(d2 + (z - sz) * (z - sz)) AS d FROM g) SELECT ord, arg_min(id, (d, id)) AS tid, round(min(d), 6) AS distance FROM h WHERE d <= 800 GROUP BY ord")
+def closest_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    got = surfaces.closest_points(customers(spark, d), floor_triangles(spark, d), 800.0)
+    return got.select(ORD, "tid", F.round("distance", 6).alias("distance"))
+
+
+@_query(f"WITH {_C}, {_S}, {_GAPS} SELECT DISTINCT ord FROM g WHERE sqrt(d2 + (z - sz) * (z - sz)) <= 50 + ord % 7 * 20")
+def spheres_on_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    return surfaces.overlaps_sphere(customers(spark, d).withColumn("radius", 50.0 + F.col(ORD) % 7 * 20), floor_triangles(spark, d), 1000.0)
+
+
+@_query(f"WITH {_C}, {_S}, {_GAPS} SELECT DISTINCT ord FROM g WHERE sqrt(d2 + greatest(z - sz, sz - z - 100, 0) ** 2) < 40 + ord % 7 * 10")
+def capsules_on_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Upright capsules, 100 high."""
+    c = customers(spark, d).select(ORD, *[F.col(x).alias(n + x) for n in "pq" for x in "xy"], F.col("z").alias("pz"), (F.col("z") + 100).alias("qz"), (40.0 + F.col(ORD) % 7 * 10).alias("radius"))
+    return surfaces.overlaps_capsule(c, floor_triangles(spark, d), 1000.0)
+
+
+@_query(f"""WITH c AS (SELECT c_custkey AS ord, c_acctbal + 0.013 AS x, ((c_custkey * 7919) % 10000)::DOUBLE + 0.017 AS y, ((c_custkey * 31) % 700) + 0.5 AS z FROM customer), {_S},
+p AS (SELECT c.ord, s.z > c.z AS up FROM c JOIN s ON c.x + 0.0123 * abs(s.z - c.z) >= s.x AND c.y + 0.0071 * abs(s.z - c.z) >= s.y AND c.x + c.y + 0.0194 * abs(s.z - c.z) - s.x - s.y <= 1500)
+SELECT c.ord, count(*) FILTER (up) % 2 = 1 AND count(*) FILTER (NOT up) % 2 = 1 AS inside FROM c LEFT JOIN p USING (ord) GROUP BY c.ord""")
+def inside_solids(spark: SparkSession, d: str) -> DataFrame:
+    p = customers(spark, d).select(ORD, (F.col("x") + 0.013).alias("x"), (F.col("y") + 0.017).alias("y"), (F.col("z") + 0.5).alias("z"))
+    solid = surfaces.inside_solid(p, floor_triangles(spark, d), 1000.0, 2000.0).withColumn("inside", F.lit(True))
+    return p.join(solid, ORD, "left").select(ORD, F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+#: Cameras around suppliers at three bearings from 7 degrees, in bounds; hidden where a level triangle cuts the sight.
+_TRIES = f"""{_S}, t AS (SELECT id, x, y, z, k, step, 600 * share AS far, radians(7 + k * 120.0) AS w FROM s, range(3) a(k), (VALUES (0, 1.0), (1, 0.6), (2, 0.35)) b(step, share)),
+p AS (SELECT *, floor((x + far * cos(w)) * 1000 + 0.5) / 1000 AS px, floor((y + far * sin(w)) * 1000 + 0.5) / 1000 AS py, z + 64 AS pz FROM t),
+i AS (SELECT *, px BETWEEN 0 AND 6000 AND py BETWEEN 0 AND 9000 AS inside FROM p),
+cut AS (SELECT DISTINCT i.id, i.k, i.step FROM i JOIN s ON s.z > i.z + 32 AND s.z < i.pz AND i.px + (i.x - i.px) * (i.pz - s.z) / 32 >= s.x AND i.py + (i.y - i.py) * (i.pz - s.z) / 32 >= s.y
+ AND i.px + (i.x - i.px) * (i.pz - s.z) / 32 - s.x + i.py + (i.y - i.py) * (i.pz - s.z) / 32 - s.y <= 1500),
+f AS (SELECT * FROM i ANTI JOIN cut USING (id, k, step) WHERE inside)"""
+
+
+def _cameras(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return surfaces.standoff_plan(suppliers(spark, d), offset=7.0, bounds=(0.0, 0.0, 6000.0, 9000.0), triangles=floor_triangles(spark, d))
+
+
+@_query(f"WITH {_TRIES} SELECT id || '-s' || (k + 1) AS id, id::VARCHAR AS \"group\", round(arg_min(px, step), 3) AS x, round(arg_min(py, step), 3) AS y, arg_min(pz, step) AS z, min(x) AS look_x FROM f GROUP BY id, k")
+def standoff_cameras(spark: SparkSession, d: str) -> DataFrame:
+    return _cameras(spark, d)[0].select("id", "group", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z", F.col("look.x").alias("look_x"))
+
+
+@_query(f"WITH {_TRIES} SELECT id, count(*) FILTER (inside) AS blocked, count(*) FILTER (NOT inside) AS outside FROM i WHERE id NOT IN (SELECT id FROM f) GROUP BY id")
+def targets_without_camera(spark: SparkSession, d: str) -> DataFrame:
+    return _cameras(spark, d)[1].select("id", "blocked", "outside")
+
+
 # meshes --------------------------------------------------------------------------------------
 
 #: Unit squares of a 12 x 9 board; those in the nations' places are blocked.
@@ -310,9 +367,12 @@ def board(spark: SparkSession) -> DataFrame:
     return spark.range(108).select(F.col("id").alias("pid"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("points"))
 
 
+def _blocked(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "nation").where("n_nationkey % 2 = 1").select(((F.col("n_nationkey") * 17) % 108).cast("long").alias("pid")).distinct()
+
+
 def _board_edges(spark: SparkSession, d: str) -> DataFrame:
-    blocked = _table(spark, d, "nation").where("n_nationkey % 2 = 1").select(((F.col("n_nationkey") * 17) % 108).cast("long").alias("pid")).distinct()
-    return nav.edges(board(spark), walk=2.0, blocked=blocked)
+    return nav.edges(board(spark), walk=2.0, blocked=_blocked(spark, d))
 
 
 _STEPS = f"""b AS ({_BOARD}), x AS ({_BLOCKED}), f AS (SELECT * FROM b WHERE pid NOT IN (SELECT pid FROM x)),
@@ -358,6 +418,38 @@ def mesh_components(spark: SparkSession, d: str) -> DataFrame:
     return nav.mesh_components(_board_edges(spark, d).select("a", "b"))
 
 
+_OFF = "greatest(i - x, x - i - 1, 0) ** 2 + greatest(j - y, y - j - 1, 0) ** 2"
+
+
+@_query(f"""WITH b AS ({_BOARD}), p AS (SELECT c_custkey AS ord, (c_custkey * 7 % 150) / 10.0 - 0.97 AS x, (c_custkey * 13 % 120) / 10.0 - 0.97 AS y, c_custkey % 5 / 2.0 AS z FROM customer),
+g AS (SELECT ord, pid, sqrt({_OFF} + z * z) AS d FROM p, b) SELECT ord, arg_min(pid, (round(d, 9), pid)) AS pid, round(min(d), 6) AS gap FROM g WHERE d <= 1.6 GROUP BY ord""")
+def snapped_points(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest squares of points on, above and beside the board."""
+    k = F.col("c_custkey")
+    p = _table(spark, d, "customer").select(k.alias(ORD), (k * 7 % 150 / 10.0 - 0.97).alias("x"), (k * 13 % 120 / 10.0 - 0.97).alias("y"), (k % 5 / 2.0).alias("z"))
+    return nav.snap(p, board(spark), 1.6).select(ORD, "pid", F.round("gap", 6).alias("gap"))
+
+
+@_query(f"""WITH b AS ({_BOARD}), x AS ({_BLOCKED}), p AS (SELECT c_custkey AS ray, c_custkey * 7 % 120 / 10.0 + 0.03 AS ax, c_custkey * 13 % 90 / 10.0 + 0.03 AS ay FROM customer),
+a AS (SELECT ray, n, ax + 2.5 * n / 12 AS x, ay + 1.5 * n / 12 AS y FROM p, range(13) r(n)), g AS (SELECT ray, n, arg_min(pid, ({_OFF}, pid)) AS pid, min({_OFF}) AS d2 FROM a, b GROUP BY ray, n)
+SELECT ray, bool_and(d2 <= 0.01 AND pid NOT IN (SELECT pid FROM x)) AS walkable FROM g GROUP BY ray""")
+def walkable_segments(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = _table(spark, d, "customer").select(k.alias("ray"), (k * 7 % 120 / 10.0 + 0.03).alias("ax"), (k * 13 % 90 / 10.0 + 0.03).alias("ay"), F.lit(0.0).alias("az"))
+    p = p.select("*", (F.col("ax") + 2.5).alias("bx"), (F.col("ay") + 1.5).alias("by"), F.lit(0.0).alias("bz"))
+    return nav.walkable(p, board(spark), _blocked(spark, d), 0.25, 0.1)
+
+
+@_query(f"""WITH RECURSIVE {_STEPS}, c AS (SELECT pid, pid AS to_pid FROM b UNION SELECT c.pid, e.b FROM c JOIN e ON e.a = c.to_pid), k AS (SELECT pid, min(to_pid) AS component FROM c GROUP BY pid),
+z AS (SELECT component, count(*) AS n FROM k GROUP BY component), m AS (SELECT b.*, component, n FROM b JOIN k USING (pid) JOIN z USING (component)),
+l AS (SELECT p.component, p.pid AS f, q.pid AS t, (p.i - q.i) ** 2 + (p.j - q.j) ** 2 AS d FROM m p, m q WHERE p.n <= 3 AND q.n > 3)
+SELECT arg_min(f, (d, f, t)) AS from_pid, arg_min(t, (d, f, t)) AS to_pid, 'navConnection' AS kind FROM l WHERE d <= 2.25 GROUP BY component""")
+def linked_islands(spark: SparkSession, d: str) -> DataFrame:
+    """Blocked squares and small pieces, each linked to the nearest square of a larger piece."""
+    pieces = nav.mesh_components(_board_edges(spark, d).select("a", "b"))
+    return nav.island_links(board(spark), pieces, 3, 1.5).select("from_pid", "to_pid", "kind")
+
+
 # records -------------------------------------------------------------------------------------
 
 
