@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import geometry as G
 from cairnfield.functions import text as T
 from cairnfield.functions.geometry import Vec
-from cairnfield.operators import grids, lanes, metadata, nav, rays, surfaces
+from cairnfield.operators import documents, grids, lanes, metadata, nav, rays, surfaces
 from cairnfield.operators.entities import near
 from cairnfield.operators.sequence import ORD, Seq
 from cairnfield.plans import tables
@@ -334,14 +334,14 @@ def inside_solids(spark: SparkSession, d: str) -> DataFrame:
 #: Cameras around suppliers at three bearings from 7 degrees, in bounds; hidden where a level triangle cuts the sight.
 _TRIES = f"""{_S}, t AS (SELECT id, x, y, z, k, step, 600 * share AS far, radians(7 + k * 120.0) AS w FROM s, range(3) a(k), (VALUES (0, 1.0), (1, 0.6), (2, 0.35)) b(step, share)),
 p AS (SELECT *, floor((x + far * cos(w)) * 1000 + 0.5) / 1000 AS px, floor((y + far * sin(w)) * 1000 + 0.5) / 1000 AS py, z + 64 AS pz FROM t),
-i AS (SELECT *, px BETWEEN 0 AND 6000 AND py BETWEEN 0 AND 9000 AS inside FROM p),
+i AS (SELECT *, px BETWEEN 0 AND 9000 AND py BETWEEN 0 AND 5000 AS inside FROM p),
 cut AS (SELECT DISTINCT i.id, i.k, i.step FROM i JOIN s ON s.z > i.z + 32 AND s.z < i.pz AND i.px + (i.x - i.px) * (i.pz - s.z) / 32 >= s.x AND i.py + (i.y - i.py) * (i.pz - s.z) / 32 >= s.y
  AND i.px + (i.x - i.px) * (i.pz - s.z) / 32 - s.x + i.py + (i.y - i.py) * (i.pz - s.z) / 32 - s.y <= 1500),
 f AS (SELECT * FROM i ANTI JOIN cut USING (id, k, step) WHERE inside)"""
 
 
 def _cameras(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return surfaces.standoff_plan(suppliers(spark, d), offset=7.0, bounds=(0.0, 0.0, 6000.0, 9000.0), triangles=floor_triangles(spark, d))
+    return surfaces.standoff_plan(suppliers(spark, d), offset=7.0, bounds=(0.0, 0.0, 9000.0, 5000.0), triangles=floor_triangles(spark, d))
 
 
 @_query(f"WITH {_TRIES} SELECT id || '-s' || (k + 1) AS id, id::VARCHAR AS \"group\", round(arg_min(px, step), 3) AS x, round(arg_min(py, step), 3) AS y, arg_min(pz, step) AS z, min(x) AS look_x FROM f GROUP BY id, k")
@@ -450,6 +450,55 @@ def linked_islands(spark: SparkSession, d: str) -> DataFrame:
     return nav.island_links(board(spark), pieces, 3, 1.5).select("from_pid", "to_pid", "kind")
 
 
+# documents -----------------------------------------------------------------------------------
+
+
+@_query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 < 2 THEN c_acctbal END AS x, CASE c_custkey % 4 WHEN 2 THEN 'line has no single point to frame' WHEN 3 THEN 'polygon has no single point to frame' END AS reason FROM customer WHERE c_nationkey = 7""")
+def annotation_targets(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("point", "label", "line", "polygon")])
+    a = _table(spark, d, "customer").select(F.col("c_custkey").alias(ORD), F.col("c_custkey").alias("id"), kinds[(F.col("c_custkey") % 4).cast("int")].alias("kind"), F.col("c_nationkey").cast("string").alias("layer"), F.array(Vec(F.col("c_acctbal"), F.lit(0.0), F.lit(0.0)).struct()).alias("points"))
+    targets, skipped = documents.targets_of_annotations(a, "7")
+    return targets.select("id", "x").unionByName(skipped.select("id", "reason"), allowMissingColumns=True)
+
+
+_LABELS = "['labelling-box', 'heavy-box', 'sinners-entity', 'other tag']"
+
+
+@_query(f"""WITH {_S}, t AS (SELECT DISTINCT {_LABELS}[(l_orderkey % 4 + 1)::INT] AS tag, l_suppkey AS e FROM lineitem)
+SELECT regexp_replace('tag.' || tag || '.' || e, '[^A-Za-z0-9._-]', '_', 'g') AS id, tag AS label, e::VARCHAR AS entity_id, x, tag <> 'other tag' AS known FROM t JOIN s ON s.id = e""")
+def tagged_entities(spark: SparkSession, d: str) -> DataFrame:
+    labels = F.array(*[F.lit(t) for t in (*documents.TAGS, "other tag")])
+    t = _table(spark, d, "lineitem").select(labels[(F.col("l_orderkey") % 4).cast("int")].alias("tag"), F.col("l_suppkey").alias("entity_id"))
+    r = documents.tag_records(t, suppliers(spark, d))
+    known = documents.tags_of(r).select("id", F.lit(True).alias("known"))
+    return r.join(known, "id", "left").select("id", "label", "entity_id", "x", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@_query("""WITH l AS (SELECT 'layer' || (n_nationkey % 20) AS id FROM nation), a AS (SELECT c_custkey % 140 AS id, CASE WHEN c_custkey % 3 > 0 THEN 'layer' || c_nationkey END AS layer FROM customer),
+r AS (SELECT id, count(*) AS n, 'duplicate-layer' AS code FROM l GROUP BY id UNION ALL SELECT id::VARCHAR, count(*), 'duplicate-annotation' FROM a GROUP BY id)
+SELECT id AS subject, code FROM (SELECT id, code, unnest(range(1, n)) FROM r) UNION ALL SELECT id::VARCHAR, 'unknown-layer' FROM a WHERE layer IS NOT NULL AND layer NOT IN (SELECT id FROM l)""")
+def annotation_issues(spark: SparkSession, d: str) -> DataFrame:
+    layers = _table(spark, d, "nation").select(F.concat(F.lit("layer"), (F.col("n_nationkey") % 20).cast("string")).alias("id"))
+    layer = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("layer"), F.col("c_nationkey").cast("string")))
+    a = _table(spark, d, "customer").select((F.col("c_custkey") % 140).alias("id"), layer.alias("layer"))
+    return documents.annotation_issues(a, layers).select("subject", "code")
+
+
+@_query(f"""WITH {_S}, p AS (SELECT id, id % 90 AS file, id % 7 * 2.0 AS off, id % 5 * 0.5 AS turn, id % 11 > 0 AS seen FROM s)
+SELECT file::VARCHAR AS subject, 'shared-file' AS code FROM (SELECT file, unnest(range(1, count(*))) FROM p GROUP BY file) UNION ALL SELECT id::VARCHAR, 'off-position' FROM p WHERE seen AND off > 8 UNION ALL SELECT id::VARCHAR, 'off-angle' FROM p WHERE seen AND turn > 1""")
+def shot_issues(spark: SparkSession, d: str) -> DataFrame:
+    seen = lambda c: F.when(F.col("id") % 11 > 0, c)
+    p = suppliers(spark, d).select("id", (F.col("id") % 90).alias("file"), *[F.lit(0.0).alias(c) for c in "xyz"], *[F.lit(359.5).alias(a) for a in ("pitch", "yaw", "roll")], seen(F.col("id") % 7 * 2.0).alias("got_x"), *[seen(F.lit(0.0)).alias("got_" + c) for c in "yz"], seen(F.lit(359.5)).alias("got_pitch"), seen(F.pmod(359.5 + F.col("id") % 5 * 0.5, F.lit(360.0))).alias("got_yaw"), seen(F.lit(359.5)).alias("got_roll"))
+    return documents.shot_issues(p).select("subject", "code")
+
+
+@_query(f"""WITH {_C} SELECT 'map' AS subject, 'map-mismatch' AS code UNION ALL SELECT id::VARCHAR, 'not-proposed' FROM c WHERE id % 10 = 3 UNION ALL SELECT id::VARCHAR, 'out-of-bounds' FROM c WHERE x < 0 OR x > 9000""")
+def submission_issues(spark: SparkSession, d: str) -> DataFrame:
+    c = customers(spark, d).select(ORD, "id", F.lit("label").alias("kind"), F.when(F.col("id") % 10 == 3, "accepted").otherwise("proposed").alias("status"), "x", "y", "z", F.lit(None).cast("array<struct<x: double, y: double, z: double>>").alias("ring"))
+    got = documents.submission_issues(c, (0.0, 0.0, 0.0), (9000.0, 10000.0, 700.0), {"build": "1", "map": "a"}, {"build": "1", "map": "b"})
+    return got.select("subject", "code")
+
+
 # records -------------------------------------------------------------------------------------
 
 
