@@ -9,6 +9,7 @@ field with the fields dealt over the executors.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.functions.geometry import Vec, distance
-from cairnfield.operators.entities import SMALL, near
+from cairnfield.operators.entities import near
 from cairnfield.operators.grids import fan_triangles
 from cairnfield.operators.sequence import ORD
 from cairnfield.operators.surfaces import closest_points
@@ -90,7 +91,10 @@ def snap(points: DataFrame, polygons: DataFrame, reach: float = MAX_SNAP) -> Dat
     the nearest, and only the points left go on."""
     tri = mesh_triangles(polygons)
     extent = F.greatest(*[F.greatest(f"a{c}", f"b{c}", f"c{c}") - F.least(f"a{c}", f"b{c}", f"c{c}") for c in "xy"])
-    width = max(tri.agg(F.avg(extent)).first()[0] or reach, reach / 4096)
+    mean = tri.agg(F.avg(extent)).first()[0]
+    if mean is None:  # no mesh
+        return closest_points(points.select(ORD, "x", "y", "z"), tri, 1.0).select(ORD, "tid.pid", F.col("distance").alias("gap"), "x", "y", "z")
+    width = max(mean, reach / 4096) if math.isfinite(reach) else max(mean, 1.0)
     rest, found = points.select(ORD, "x", "y", "z"), None
     while True:
         got = closest_points(rest, tri, min(width, reach)).select(ORD, "tid.pid", F.col("distance").alias("gap"), "x", "y", "z")
@@ -198,33 +202,6 @@ def kernel_fields(edges_: DataFrame, sources: DataFrame) -> DataFrame:
     return fields.select(F.col("field").cast("long"), F.col("pids").cast("array<long>")).mapInArrow(run, "field long, pid long, cost double")
 
 
-def routes(edges_: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(route, pids, cost) of the least-cost chain of polygons for each (route, from_pid, to_pid); none if unreachable."""
-    mesh = _shared_mesh(edges_)
-
-    def run(batches):
-        pids, start, to, cost = mesh.value
-        index = {int(p): i for i, p in enumerate(pids)}
-        for b in batches:
-            rows = []
-            for route, p, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if p == q:
-                    rows.append((route, [p], 0.0))
-                elif p in index and q in index:
-                    best, came = dijkstra(start, to, cost, [index[p]], index[q])
-                    at, chain = index[q], []
-                    while at >= 0:
-                        chain.append(int(pids[at]))
-                        at = int(came[at])
-                    if np.isfinite(best[index[q]]):
-                        rows.append((route, chain[::-1], float(best[index[q]])))
-            if rows:
-                r, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(d)], ["route", "pids", "cost"])
-
-    return wanted.select(*[F.col(c).cast("long") for c in ("route", "from_pid", "to_pid")]).mapInArrow(run, "route long, pids array<long>, cost double")
-
-
 def travel_times(points: DataFrame, fields: DataFrame, polygons: DataFrame) -> DataFrame:
     """(ord, field, cost) for every point and every field that reaches its polygon."""
     return snap(points, polygons).join(fields, "pid").select(ORD, "field", "cost")
@@ -260,8 +237,6 @@ def mesh_components(links: DataFrame) -> DataFrame:
 def straight_detours(costs: DataFrame, points: DataFrame, walk: float, factor: float) -> DataFrame:
     """Pairs (a_ord < b_ord) over ``factor`` times as far to walk as to fly; costs: (a, b, seconds)."""
     p = points.select(ORD, "x", "y", "z")
-    if p.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"at most {SMALL} points")
     a = p.select([F.col(c).alias(f"a_{c}") for c in p.columns])
     b = p.select([F.col(c).alias(f"b_{c}") for c in p.columns])
     got = costs.join(a, F.col("a") == F.col(f"a_{ORD}")).join(b, F.col("b") == F.col(f"b_{ORD}")).where(F.col(f"a_{ORD}") < F.col(f"b_{ORD}"))

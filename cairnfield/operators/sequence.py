@@ -16,17 +16,36 @@ from cairnfield.plans.storage import materialize
 ORD = "ord"
 
 
-def dense_index(df: DataFrame, order: str = ORD, name: str = "idx", buckets: int = 64) -> DataFrame:
+#: Rows that a range of ``dense_index`` and ``running_total`` holds, about; there are MOST_RANGES at most.
+RANGE_ROWS, MOST_RANGES = 1 << 20, 1 << 16
+
+
+def _in_ranges(df: DataFrame, order: str, buckets: int | None) -> DataFrame:
+    """``df`` with the number of a row's range of ``order`` (``__bucket``); the ranges' number grows with the rows.
+
+    Approximate quantiles cut the ranges. A row finds its own in two steps, first among every so many cuts."""
+    if buckets is None:
+        buckets = min(max(64, df.count() // RANGE_ROWS), MOST_RANGES)
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    if not cuts:
+        return df.withColumn("__bucket", F.lit(0))
+    step = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(order)))
+    coarse = F.greatest(below(F.array(*[F.lit(p[0]) for p in parts])) - 1, F.lit(0))
+    fine = below(F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in parts]), F.col("__part") + 1))
+    return df.withColumn("__part", coarse).withColumn("__bucket", F.col("__part") * step + fine).drop("__part")
+
+
+def dense_index(df: DataFrame, order: str = ORD, name: str = "idx", buckets: int | None = None) -> DataFrame:
     """Add the 0-based position in ascending ``order`` (a unique number).
 
-    The order column is cut into about ``buckets`` ranges by approximate quantiles. Any cuts give
+    The order column is cut into ranges of about RANGE_ROWS rows by approximate quantiles. Any cuts give
     right positions, only the balance depends on them: a row's position is its rank in its range
     plus the sizes of the ranges before.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = df.withColumn("__bucket", bucket)
-    # at most ``buckets`` rows: one window over them, and a broadcast of a proven size
+    dealt = _in_ranges(df, order, buckets)
+    # one row a range: one window over them, and a broadcast of a proven size
     sizes = dealt.groupBy(F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
     before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)) - 1
@@ -34,12 +53,10 @@ def dense_index(df: DataFrame, order: str = ORD, name: str = "idx", buckets: int
     return ranked.withColumn(name, (F.col("__rank") + F.col("__before")).cast("long")).drop("__bucket", "__rank", "__b", "__before")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Add the sum of ``value`` over the rows before in ``order``: by ranges, as in ``dense_index``."""
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = df.withColumn("__bucket", bucket)
-    sums = dealt.groupBy(F.col("__bucket").alias("__b")).agg(F.sum(value).alias("__n"))  # at most ``buckets`` rows
+    dealt = _in_ranges(df, order, buckets)
+    sums = dealt.groupBy(F.col("__bucket").alias("__b")).agg(F.sum(value).alias("__n"))  # one row a range
     before = sums.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
     own = F.sum(value).over(Window.partitionBy("__bucket").orderBy(order)) - F.col(value)
     out = dealt.withColumn("__own", own).join(F.broadcast(before), F.col("__bucket") == F.col("__b"))
@@ -129,7 +146,10 @@ class Seq:
         return self._new(self.ordered().limit(max(n, 0)), self.keys)
 
     def skip(self, n: int) -> Seq:
-        return self._new(self.ordered().offset(max(n, 0)), self.keys)
+        """All but the first ``n``, by position: no task sees the whole relation."""
+        if n <= 0:
+            return self
+        return self._new(dense_index(self.settled().df, name="__at").where(F.col("__at") >= n).drop("__at"))
 
     # pairs and groups ------------------------------------------------------------------------
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnfield.functions import geometry as G
 from cairnfield.functions import text as T
 from cairnfield.functions.geometry import Vec
-from cairnfield.operators import documents, grids, lanes, metadata, nav, rays, surfaces
+from cairnfield.operators import documents, grids, lanes, metadata, nav, rays, routes, surfaces
 from cairnfield.operators.entities import near
 from cairnfield.operators.sequence import ORD, Seq
 from cairnfield.plans import tables
@@ -397,7 +397,7 @@ def quickest_field(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {_STEPS}, {_reached('0')} SELECT 1 AS route, cost, (cost * 2 + 1)::INT AS n, 0 AS first, 106 AS last FROM t WHERE pid = 106")
 def quickest_route(spark: SparkSession, d: str) -> DataFrame:
-    got = nav.routes(_board_edges(spark, d), spark.createDataFrame([(1, 0, 106)], "route long, from_pid long, to_pid long"))
+    got = routes.routes(_board_edges(spark, d), spark.createDataFrame([(1, 0, 106)], "route long, from_pid long, to_pid long"))
     return got.select(F.col("route").cast("int"), "cost", F.size("pids").alias("n"), F.element_at("pids", 1).cast("int").alias("first"), F.element_at("pids", -1).cast("int").alias("last"))
 
 

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders written by this session and not yet deleted.
 _WRITTEN: dict[str, None] = {}
+#: The folder of a local session that names none, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder if Spark is local, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cairnfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="cairnfield-")
+        _OWN[context.applicationId] = found
     return found.rstrip("/")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, NumericType, StringType, StructType
 
-from cairnfield.operators.sequence import ORD, dense_index
+from cairnfield.operators.sequence import ORD, Seq, dense_index
 
 ROW_CAP = 100_000
 
@@ -108,25 +108,44 @@ class Page:
     total: int
 
 
-def view(df: DataFrame, filters: dict[str, str] | None = None, sort: str | None = None, descending: bool = False) -> DataFrame:
-    """Filter by all given columns and sort; blanks come last both ways and ties keep their order."""
+def _filtered(df: DataFrame, filters: dict[str, str] | None) -> DataFrame:
     for name, q in (filters or {}).items():
         if q.strip():
             df = df.where(text_filter(df, name, q))
-    if sort is None:
-        return df.orderBy(ORD)
+    return df
+
+
+def _sort_key(df: DataFrame, sort: str, descending: bool) -> Column:
     kind, c = column_types(df)[sort], F.col(f"`{sort}`")
     key = c if kind == "number" else c.cast("int") if kind == "bool" else natural_key(F.nullif(cell_text(c, kind), F.lit("")))
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(ORD).asc())
+    return key.desc_nulls_last() if descending else key.asc_nulls_last()
+
+
+def view(df: DataFrame, filters: dict[str, str] | None = None, sort: str | None = None, descending: bool = False) -> DataFrame:
+    """Filter by all given columns and sort; blanks come last both ways and ties keep their order."""
+    df = _filtered(df, filters)
+    return df.orderBy(ORD) if sort is None else df.orderBy(_sort_key(df, sort, descending), F.col(ORD).asc())
+
+
+#: A page that ends within this many rows is the end of a top-k; a later one is found by position.
+SHALLOW = 100_000
 
 
-def page(df: DataFrame, number: int, size: int, **how) -> Page:
-    rows = view(df, **how)
+def page(df: DataFrame, number: int, size: int, filters: dict[str, str] | None = None, sort: str | None = None, descending: bool = False) -> Page:
+    """The rows of one page in order, and where it stands. ``number`` is clamped to the pages there are."""
+    rows = _filtered(df, filters)
     total = rows.count()
     pages = max(1, -(-total // size))
     at = min(max(number, 1), pages)
     first = (at - 1) * size
-    return Page(rows.offset(first).limit(size), at, pages, first + 1 if total else 0, min(first + size, total), total)
+    if first + size <= SHALLOW:
+        got = view(rows, None, sort, descending).limit(first + size).offset(first)
+    else:
+        kept = rows.withColumn("__own", F.col(ORD))
+        settled = Seq(kept, () if sort is None else (_sort_key(rows, sort, descending),)).settled().df
+        got = dense_index(settled, name="__at").where(F.col("__at").between(first, first + size - 1)).orderBy("__at")
+        got = got.withColumn(ORD, F.col("__own")).select(*rows.columns)
+    return Page(got, at, pages, first + 1 if total else 0, min(first + size, total), total)
 
 
 # exports -------------------------------------------------------------------------------------

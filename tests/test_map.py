@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.functions.geometry import Vec, angle_between, path_measure, ring_area, segments_cross
-from cairnfield.operators import entities, metadata, nav, rays
+from cairnfield.operators import entities, metadata, nav, rays, routes
 from cairnfield.operators.entities import EntityList
 from cairnfield.operators.sequence import Seq, dense_index
 from cairnfield.plans import tables
@@ -154,7 +154,7 @@ def test_fields_and_routes(spark):
     small = grid_mesh(spark, 3)
     es = nav.edges(small, walk=500.0)
     assert {r.pid: r.cost for r in nav.relaxed_field(es, start).collect()} == {i * 3 + j: (i + j) * 2.0 for i in range(3) for j in range(3)}
-    route = nav.routes(e, spark.createDataFrame([(1, 0, 80), (2, 5, 5)], "route long, from_pid long, to_pid long")).collect()
+    route = routes.routes(e, spark.createDataFrame([(1, 0, 80), (2, 5, 5)], "route long, from_pid long, to_pid long")).collect()
     assert {(r.route, r.cost, len(r.pids)) for r in route} == {(1, 32.0, 17), (2, 0.0, 1)}
     orbs = points(spark, [("far", 3000, 3000, 0), ("by", -3000, -3750, 0), ("off", 0, 0, 5000)])
     got = nav.within_time(orbs, points(spark, [("s", -3750, -3750, 0)]), mesh, e, 3.0)
