@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .textkit import ROW, SPACES, materialize, with_row_keys, without_rows
 
 _KEY = ("digest", "n_norm", "check")
+#: Rows for which there is one run.
+PER_RUN = 1 << 22
 
 
 def normalised(text: Column) -> Column:
@@ -24,40 +26,51 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 16, fan_in: int = 2) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, fan_in: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Each document belongs to one of ``runs`` runs by a hash of its id. A run is sorted by digest and
-    holds one row per digest: the best keeper (most code points, then smallest id) and a count. In
-    round k of a binomial tree, run r with bit k set goes to run r - 2^k and the two are merged in digest order
-    (``fan_in`` runs at a time with a larger radix). Every merge retains the smallest identifier of
-    equal digests, *verified* by the length and a second SHA-256 of the text after a prefix. The
-    keepers then travel down the tree again, one row per digest and run, so no join key ever has
-    more than a run's share of a group of copies.
+    Each document belongs to one of ``runs`` runs by a hash of its id. A run holds one row per digest: the best
+    keeper (most code points, then smallest id) and a count. In round k of a binomial tree, run r with bit k set
+    goes to run r - 2^k (``fan_in`` runs at a time with a larger radix): the runs of a pair meet in the same
+    partitions, sorted by digest, and one pass over the sorted rows merges them. A run is cut by the first bits of its digests
+    into as many pieces as keep the number of partitions the same in every round, so that the last run isn't
+    one task's. Every merge retains the smallest identifier of equal digests, *verified* by the length and a second
+    SHA-256 of the text after a prefix. Keepers of digests that several documents have then travel down the tree
+    again, one row per digest and run, so no join key has more than a run's share of a group of copies; there is a
+    run for every ``PER_RUN`` rows (16 at least).
 
     Nulls: a null text is empty, and all empty texts form one group. A null id sorts after all
     others. Repeated rows with one id: all count in group_size and share keep_id; of exact
     repeats, kept is true for each. Empty tables give no rows; other columns are not read.
     """
+    leaf = materialize(digest_rows(docs, id_col, text_col), "digests")
+    if runs is None:
+        runs = 16
+        while runs * PER_RUN < leaf.count():
+            runs *= 2
     if runs < 1 or fan_in < 2:
         raise ValueError("runs >= 1 and fan_in >= 2 are needed")
-    leaf = materialize(digest_rows(docs, id_col, text_col).withColumn("run0", F.pmod(F.xxhash64("doc_id"), F.lit(runs))), "digests")
-    best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg")))
-    level = leaf.groupBy(*_KEY, "run0").agg(best.alias("best"), F.count("*").alias("members"))
-    levels, left, depth = [level], runs, 0
+    leaf = leaf.withColumn("run0", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
+    # ~id falls as the id rises, as -id does, but has a value for the least long, too
+    best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not(F.col("doc_id").cast("long")).alias("neg")))
+    levels, left, depth = [leaf.groupBy(*_KEY, "run0").agg(best.alias("best"), F.count("*").alias("members"))], runs, 0
+    tasks = max(runs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while left > 1:
-        up = levels[-1].withColumn(f"run{depth + 1}", F.floor(F.col(f"run{depth}") / fan_in))
-        levels.append(up.groupBy(*_KEY, f"run{depth + 1}").agg(F.max("best").alias("best"), F.sum("members").alias("members")))
         left, depth = -(-left // fan_in), depth + 1
-    down = levels[-1]
+        run, piece = f"run{depth}", F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % max(1, tasks // left)
+        met = levels[-1].withColumns({run: F.floor(F.col(f"run{depth - 1}") / fan_in), "piece": piece})
+        met = met.repartition(tasks, "piece", run).sortWithinPartitions("piece", run, *_KEY)
+        levels.append(met.groupBy("piece", run, *_KEY).agg(F.max("best").alias("best"), F.sum("members").alias("members")).drop("piece"))
+    down = levels[-1].where("members > 1").drop("piece")
     for k in range(depth - 1, -1, -1):
         below = levels[k].select(*_KEY, f"run{k}", F.floor(F.col(f"run{k}") / fan_in).alias(f"run{k + 1}"))
         down = below.join(down, [*_KEY, f"run{k + 1}"]).select(*_KEY, f"run{k}", "best", "members")
-    keep = -F.col("best.neg")
-    return leaf.join(down, [*_KEY, "run0"]).select(
-        "doc_id", keep.alias("keep_id"), F.col("members").cast("long").alias("group_size"),
+    several = F.col("members").isNotNull()
+    keep = F.when(several, F.bitwise_not(F.col("best.neg"))).otherwise(F.col("doc_id"))
+    return leaf.join(down, [*_KEY, "run0"], "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

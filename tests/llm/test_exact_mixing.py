@@ -56,3 +56,21 @@ def test_targets_and_copies(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) < 0.1 * own[0].target
     assert emit(docs).count() == sum(r.copies for r in rows)
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_exact_extreme_ids_and_many_runs(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "a"), (high, "a"), (0, "a"), (low, "b"), (None, "c"), (high, "d "), (low, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for runs in (None, 3, 64):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(docs, runs=runs).collect()}
+        assert got == {(low, low, 3, True), (high, low, 3, False), (0, low, 3, False), (low, low, 1, True), (None, None, 1, True), (high, high, 2, True), (low, high, 2, False)}
+
+
+def test_exact_rounds_exchange_sorted_runs(spark):
+    """Each round is one exchange by piece and run, sorted by digest, and a merge of the sorted rows."""
+    docs = spark.createDataFrame([(i, str(i % 50)) for i in range(400)], "doc_id long, text string")
+    plan = exact_groups(docs, runs=4)._jdf.queryExecution().executedPlan().toString()
+    for k in (1, 2):
+        assert re.search(rf"Exchange hashpartitioning\(piece#\d+L?, run{k}#\d+L?, \d+\), REPARTITION_BY_NUM", plan)
+    assert not re.search("Python|Arrow|Pandas", plan)

@@ -65,3 +65,11 @@ def test_short_repeats_of_two_documents(spark):
     assert sum(x[1] > 0 for x in want.values()) == 240
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_an_id_with_several_texts(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    shared = words("s", 60)
+    rows = [(1, shared), (2, "x y z " + shared), (2, words("o", 80)), (2, shared.replace(" ", "\n")), (3, words("o", 80) + " q"), (3, words("p", 55)), (4, words("p", 55))]
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 60, 0), (2, 60, 60), (2, 63, 60), (2, 80, 0), (3, 55, 0), (3, 81, 80), (4, 55, 55)]
