@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,9 +94,10 @@ def wanted_level(distance: Column, diagonal: Column, levels: Column, finest_rang
 def visible_tiles(cameras: DataFrame, cells: DataFrame, far: float, half_width: float, half_height: float, near: float = 0.0, finest_range: float = FINEST_RANGE) -> DataFrame:
     """(camera, base, distance, want, lods) of the places whose box meets a camera's view (camera, x, y, z, pitch, yaw, roll).
 
-    The view opens by ``half_width`` and ``half_height`` degrees and ends at ``far``. Cameras and boxes meet by map
-    cells as wide as that: a box is in all cells that it covers, a camera looks into its own and those around."""
-    place = lambda c: F.floor(c / float(far))
+    The view opens by ``half_width`` and ``half_height`` degrees (under 90) and ends ``far`` ahead. Cameras and boxes meet by map
+    cells as wide as the way to its far corners: a box is in all cells that it covers, a camera looks into its own and those around."""
+    reach = far * math.sqrt(1 + math.tan(math.radians(half_width)) ** 2 + math.tan(math.radians(half_height)) ** 2)
+    place = lambda c: F.floor(c / reach)
     around = lambda c: F.explode(F.sequence(place(F.col(c)) - 1, place(F.col(c)) + 1))
     covers = lambda c: F.explode(F.sequence(place(F.col(f"low.{c}")), place(F.col(f"high.{c}"))))
     eyes = cameras.withColumn("cx", around("x")).withColumn("cy", around("y"))

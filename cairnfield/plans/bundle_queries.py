@@ -13,7 +13,7 @@ from cairnfield.plans.route_queries import _STRIPS, _sections, strips
 # nested values ----------------------------------------------------------------------------------
 
 
-@_query(f"""WITH {_STRIPS}, p AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber) AS p FROM lineitem GROUP BY 1), r AS (SELECT q.o, q.q, p.p, len(q.q) AS n FROM q JOIN p USING (o)),
+@_query("""WITH r AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1),
 i AS (SELECT *, unnest(range(n)) AS k FROM r)
 SELECT o AS id, 0 AS n, 'a_key' AS key, o::VARCHAR AS value FROM r
 UNION ALL SELECT o, 1 + 2 * k, 'b_items[' || k || '].part', p[k + 1]::VARCHAR FROM i
@@ -24,7 +24,7 @@ UNION ALL SELECT o, 3 + 2 * n, 'e_none', 'null' FROM r""")
 def flattened_orders(spark: SparkSession, d: str) -> DataFrame:
     """Each order as a JSON document, flattened to its fields."""
     item = F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.struct(F.col("l_quantity").cast("long").alias("units")).alias("size"))
-    o = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("a_key")).agg(F.array_sort(F.collect_list(item)).alias("i"))  # at most seven an order
+    o = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("a_key")).agg(F.array_sort(F.collect_list(item)).alias("i"))  # the few lines of an order
     counts = F.transform("i", lambda x: x["size"]["units"])
     doc = F.struct(F.lit(None).cast("string").alias("e_none"), F.array().cast("array<int>").alias("d_empty"), "a_key", F.concat(counts, counts).alias("c_counts"), F.transform("i", lambda x: F.struct(x["size"].alias("size"), x["part"].alias("part"))).alias("b_items"))
     rows = o.select("a_key", F.parse_json(F.to_json(doc, {"ignoreNullFields": "false"})).alias("v"))
@@ -67,7 +67,7 @@ def _tiles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     p = _table(spark, d, "part").select(k.alias("k"), F.explode(F.sequence(F.lit(0), (k % 4).cast("int"))).alias("l"))
     p = p.where(~((F.col("l") == 0) & (F.col("k") % 11 == 0)) & ~((F.col("l") == 1) & (F.col("k") % 9 == 0) & (F.col("k") % 4 >= 2)))
-    x, y = ((F.col("k") - 1) % 40 * 10).cast("double"), (F.floor((F.col("k") - 1) / 40) * 10).cast("double")
+    x, y = (F.col("k") % 40 * 10).cast("double"), (F.floor(F.col("k") / 40) * 10).cast("double")
     point = lambda a, b, c: F.struct(a.alias("x"), b.alias("y"), c.alias("z"))
     ident = F.concat(F.lit("p"), F.col("k").cast("string"), F.when(F.col("l") > 0, F.concat(F.lit("#lod"), F.col("l").cast("string"))).otherwise(""))
     wide = F.when((F.col("k") % 13 == 0) & (F.col("l") == 2), 10.5).otherwise(10.0)
@@ -95,9 +95,9 @@ def _cameras(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""WITH c AS (SELECT s_suppkey AS camera, s_suppkey * 37 % 400 + 0.5::DOUBLE AS x, s_suppkey * 53 % 400 + 0.25::DOUBLE AS y, 20.0::DOUBLE AS z, radians(15.0::DOUBLE) AS p, radians((s_suppkey * 29 % 360)::DOUBLE) AS w FROM supplier),
-b AS (SELECT 'p' || p_partkey AS base, (p_partkey - 1) % 40 * 10.0::DOUBLE AS lx, (p_partkey - 1) // 40 * 10.0::DOUBLE AS ly, 1 + (p_partkey % 4) - (p_partkey % 11 = 0)::INT - (p_partkey % 9 = 0 AND p_partkey % 4 >= 2)::INT AS levels,
+b AS (SELECT 'p' || p_partkey AS base, p_partkey % 40 * 10.0::DOUBLE AS lx, p_partkey // 40 * 10.0::DOUBLE AS ly, 1 + (p_partkey % 4) - (p_partkey % 11 = 0)::INT - (p_partkey % 9 = 0 AND p_partkey % 4 >= 2)::INT AS levels,
  CASE WHEN p_partkey % 13 = 0 AND p_partkey % 4 >= 2 THEN 10.5::DOUBLE ELSE 10 END AS wide FROM part),
-m AS (SELECT *, cos(p) * cos(w) AS fx, cos(p) * sin(w) AS fy, -sin(p) AS fz, sin(w) AS rx, -cos(w) AS ry FROM c, b WHERE levels > 0 AND b.lx <= c.x + 80 AND b.lx + wide >= c.x - 80 AND b.ly <= c.y + 80 AND b.ly + 10 >= c.y - 80),
+m AS (SELECT *, cos(p) * cos(w) AS fx, cos(p) * sin(w) AS fy, -sin(p) AS fz, sin(w) AS rx, -cos(w) AS ry FROM c, b WHERE levels > 0 AND b.lx <= c.x + 120 AND b.lx + wide >= c.x - 120 AND b.ly <= c.y + 120 AND b.ly + 10 >= c.y - 120),
 u AS (SELECT *, ry * fz AS ux, -rx * fz AS uy, rx * fy - ry * fx AS uz FROM m),
 n AS (SELECT camera, base, lx, ly, wide, levels, x, y, z, unnest([{'a': fx * sin(radians(40.0::DOUBLE)) + rx * cos(radians(40.0::DOUBLE)), 'b': fy * sin(radians(40.0::DOUBLE)) + ry * cos(radians(40.0::DOUBLE)), 'c': fz * sin(radians(40.0::DOUBLE)), 'o': 0.0::DOUBLE},
  {'a': fx * sin(radians(40.0::DOUBLE)) - rx * cos(radians(40.0::DOUBLE)), 'b': fy * sin(radians(40.0::DOUBLE)) - ry * cos(radians(40.0::DOUBLE)), 'c': fz * sin(radians(40.0::DOUBLE)), 'o': 0.0},
@@ -109,7 +109,7 @@ s AS (SELECT camera, base, any_value(levels) AS levels, any_value(wide) AS wide,
 g AS (SELECT *, sqrt(dx * dx + dy * dy + 225) AS distance, sqrt(dx * dx + dy * dy + 225) / (1.5 * sqrt(wide * wide + 125)) AS ratio FROM s)
 SELECT camera, base, round(distance, 6) AS distance, (CASE WHEN levels <= 1 OR ratio <= 1 THEN 0 ELSE least(levels - 1, 1 + floor(log2(ratio))) END)::INT AS want FROM g""")
 def visible_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """What each supplier's camera sees of the tiles within 80 units, and at which level."""
+    """What each supplier's camera sees of the tiles up to 80 units ahead, and at which level."""
     got = tiles.visible_tiles(_cameras(spark, d), tiles.tile_cells(_tiles(spark, d)), 80.0, 40.0, 30.0)
     return got.select("camera", "base", F.round("distance", 6).alias("distance"), "want")
 
@@ -138,16 +138,16 @@ def file_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def _flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s, o = _sections(spark, d), F.col("o")
-    nodes = s.select(F.lit(0).alias("hull"), o.alias("node"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: o * 8 + k + 1).alias("nav_ids"))
-    to = F.array(o * 8 + F.col("n"), (o + 1) * 8 + 1, (o + 2) * 8 + 2)
+    nodes = s.select(F.lit(0).alias("hull"), o.alias("node"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: o * 64 + k + 1).alias("nav_ids"))
+    to = F.array(o * 64 + F.col("n"), (o + 1) * 64 + 1, (o + 2) * 64 + 2)
     mesh = strips(spark, d)
-    faces = mesh.select(F.col("pid").alias("face"), F.when(F.col("pid") % 40 != 0, F.col("pid")).alias("pid"))
-    return meshes.flow_links(nodes, s.select(F.lit(0).alias("hull"), o.alias("node"), F.explode(to).alias("nav_id")), faces, mesh, mesh.select("pid", F.floor(F.col("pid") / 8).alias("component")))
+    faces = mesh.select(F.col("pid").alias("face"), F.when(F.col("pid") % 320 != 0, F.col("pid")).alias("pid"))
+    return meshes.flow_links(nodes, s.select(F.lit(0).alias("hull"), o.alias("node"), F.explode(to).alias("nav_id")), faces, mesh, mesh.select("pid", F.floor(F.col("pid") / 64).alias("component")))
 
 
-_FLOW = f"""{_STRIPS}, p AS (SELECT o, o * 8 + k AS pid, k, (k + 0.5) * 10 AS x, o * 100 + (s[k + 1] + s[k + 2]) / 2 AS y FROM (SELECT *, unnest(range(n)) AS k FROM s)),
-w AS (SELECT * FROM p WHERE pid % 40 <> 0), c AS (SELECT o, n, unnest([o * 8 + n - 1, (o + 1) * 8, (o + 2) * 8 + 1]) AS dest FROM s),
-t AS (SELECT c.*, w.o AS piece, w.x AS tx, w.y AS ty, w.pid AS dpid, EXISTS (SELECT 1 FROM w v WHERE v.o = c.o) AS some FROM c LEFT JOIN w ON w.pid = dest)"""
+_FLOW = f"""{_STRIPS}, p AS (SELECT o, o * 64 + k AS pid, k, (k + 0.5) * 10 AS x, o * 100 + (s[k + 1] + s[k + 2]) / 2 AS y FROM (SELECT *, unnest(range(n)) AS k FROM s)),
+w AS (SELECT * FROM p WHERE pid % 320 <> 0), c AS (SELECT o, n, unnest([o * 64 + n - 1, (o + 1) * 64, (o + 2) * 64 + 1]) AS dest FROM s),
+t AS (SELECT c.*, w.o AS piece, w.x AS tx, w.y AS ty, w.pid AS dpid, EXISTS (SELECT 1 FROM w v WHERE v.o = c.o) AS held FROM c LEFT JOIN w ON w.pid = dest)"""
 
 
 @_query(f"WITH {_FLOW} SELECT arg_min(v.pid, (sqrt((v.x - tx) ** 2 + (v.y - ty) ** 2), v.k)) AS from_pid, dpid AS to_pid FROM t JOIN w v ON v.o = t.o WHERE dpid IS NOT NULL AND piece <> t.o GROUP BY t.o, dpid")
@@ -156,6 +156,6 @@ def flow_links(spark: SparkSession, d: str) -> DataFrame:
     return _flow(spark, d)[0].select("from_pid", "to_pid")
 
 
-@_query(f"WITH {_FLOW} SELECT o AS node, dest + 1 AS nav_id, CASE WHEN dpid IS NULL OR NOT some THEN 'unresolved' ELSE 'same component' END AS reason FROM t WHERE dpid IS NULL OR NOT some OR piece = o")
+@_query(f"WITH {_FLOW} SELECT o AS node, dest + 1 AS nav_id, CASE WHEN dpid IS NULL OR NOT held THEN 'unresolved' ELSE 'same component' END AS reason FROM t WHERE dpid IS NULL OR NOT held OR piece = o")
 def left_out_connections(spark: SparkSession, d: str) -> DataFrame:
     return _flow(spark, d)[1].select("node", "nav_id", "reason")

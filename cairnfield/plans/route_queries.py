@@ -20,18 +20,18 @@ def _height(i: Column, j: Column) -> Column:
 
 def terrain(spark: SparkSession, d: str) -> DataFrame:
     """(pid, points): squares of 10 units, heights from 0 to 10."""
-    pid = F.col("p_partkey") - 1
+    pid = F.col("p_partkey")
     i, j = pid % 40, F.floor(pid / 40)
     corner = lambda a, b: F.struct(((i + a) * 10).cast("double").alias("x"), ((j + b) * 10).cast("double").alias("y"), _height(i + a, j + b).alias("z"))
     return _table(spark, d, "part").select(pid.alias("pid"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("points"))
 
 
 def _closed(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "part").where("p_size <= 4").select((F.col("p_partkey") - 1).alias("pid"))
+    return _table(spark, d, "part").where("p_size <= 4").select(F.col("p_partkey").alias("pid"))
 
 
 _H = "((({i}) * 7919 + ({j}) * 104729) % 9973 / 997.3::DOUBLE)"
-_TERRAIN = f"""m AS MATERIALIZED (SELECT p_partkey - 1 AS pid, (p_partkey - 1) % 40 AS i, (p_partkey - 1) // 40 AS j, p_size <= 4 AS closed, p_size, (SELECT count(*) FROM part) AS size FROM part),
+_TERRAIN = f"""m AS MATERIALIZED (SELECT p_partkey AS pid, p_partkey % 40 AS i, p_partkey // 40 AS j, p_size <= 4 AS closed, p_size, (SELECT count(*) FROM part) AS size FROM part),
 h AS MATERIALIZED (SELECT *, ({_H.format(i='i', j='j')} + {_H.format(i='i+1', j='j')} + {_H.format(i='i+1', j='j+1')} + {_H.format(i='i', j='j+1')}) / 4 AS z FROM m)"""
 
 _SPEEDS = {"zipline": 15.0, "navConnection": 2.0, "climbRope": 1.0, "gate": 0.0}
@@ -48,16 +48,18 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
     n, k = _table(spark, d, "part").count(), F.col("s_suppkey")
-    return _table(spark, d, "supplier").select(k.alias("route"), (k * 37 % n).alias("from_pid"), ((k * 37 + 85) % n).alias("to_pid"))
+    f = k * 37 % n
+    step = F.when(f % 40 < 20, 85).otherwise(75) * F.when(f < n / 2, 1).otherwise(-1)
+    return _table(spark, d, "supplier").select(k.alias("route"), f.alias("from_pid"), (f + step).alias("to_pid"))
 
 
 _GRAPH = f"""{_TERRAIN},
 l AS (SELECT s_suppkey * 53 % size AS f, (s_suppkey * 53 + 122) % size AS t, s_suppkey % 5 AS kind, CASE s_suppkey % 5 WHEN 0 THEN 15 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS speed,
- CASE WHEN s_suppkey % 7 = 0 THEN 9.0::DOUBLE END AS own, s_suppkey % 3 <> 0 AS both FROM supplier, (SELECT count(*) AS size FROM part)),
+ CASE WHEN s_suppkey % 7 = 0 THEN 9.0::DOUBLE END AS own, s_suppkey % 3 <> 0 AS two_way FROM supplier, (SELECT count(*) AS size FROM part)),
 k AS (SELECT f, t, CASE WHEN own IS NOT NULL THEN CASE WHEN coalesce(speed, 1) <> 0 THEN own END WHEN speed > 0 THEN
- sqrt((f % 40 * 10 - t % 40 * 10.0::DOUBLE) * (f % 40 * 10 - t % 40 * 10.0::DOUBLE) + (f // 40 * 10 - t // 40 * 10.0::DOUBLE) * (f // 40 * 10 - t // 40 * 10.0::DOUBLE) + 36.0::DOUBLE) / speed END AS cost, both FROM l),
+ sqrt((f % 40 * 10 - t % 40 * 10.0::DOUBLE) * (f % 40 * 10 - t % 40 * 10.0::DOUBLE) + (f // 40 * 10 - t // 40 * 10.0::DOUBLE) * (f // 40 * 10 - t // 40 * 10.0::DOUBLE) + 36.0::DOUBLE) / speed END AS cost, two_way FROM l),
 u AS (SELECT p.pid AS a, q.pid AS b, sqrt((p.i - q.i) * (p.i - q.i) * 100.0::DOUBLE + (p.j - q.j) * (p.j - q.j) * 100.0::DOUBLE + (p.z - q.z) * (p.z - q.z)) / 2 AS cost FROM h p JOIN h q ON abs(p.i - q.i) + abs(p.j - q.j) = 1
- UNION ALL SELECT f, t, cost FROM k WHERE cost IS NOT NULL UNION ALL SELECT t, f, cost FROM k WHERE cost IS NOT NULL AND both),
+ UNION ALL SELECT f, t, cost FROM k WHERE cost IS NOT NULL UNION ALL SELECT t, f, cost FROM k WHERE cost IS NOT NULL AND two_way),
 e AS MATERIALIZED (SELECT a, b, min(cost * CASE WHEN y.p_size >= 40 THEN 1 + y.p_size / 50.0::DOUBLE ELSE 1 END) AS cost FROM u JOIN h x ON x.pid = a JOIN h y ON y.pid = b WHERE NOT x.closed AND NOT y.closed GROUP BY a, b)"""
 
 
@@ -68,14 +70,14 @@ def mesh_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terrain_steps(spark: SparkSession, d: str) -> DataFrame:
-    slow = _table(spark, d, "part").where("p_size >= 40").select((F.col("p_partkey") - 1).alias("pid"), (F.col("p_size") / F.lit(50.0) + 1).alias("multiplier"))
+    slow = _table(spark, d, "part").where("p_size >= 40").select(F.col("p_partkey").alias("pid"), (F.col("p_size") / F.lit(50.0) + 1).alias("multiplier"))
     return routes.steps(terrain(spark, d), _links(spark, d), 2.0, _SPEEDS, _closed(spark, d), slow)
 
 
 @_query(f"""WITH RECURSIVE {_GRAPH},
-w AS (SELECT s_suppkey AS route, s_suppkey * 37 % size AS s, (s_suppkey * 37 + 85) % size AS g FROM supplier, (SELECT count(*) AS size FROM part)),
+w AS (SELECT *, s + CASE WHEN s % 40 < 20 THEN 85 ELSE 75 END * CASE WHEN s < size / 2 THEN 1 ELSE -1 END AS g FROM (SELECT s_suppkey AS route, s_suppkey * 37 % size AS s, size FROM supplier, (SELECT count(*) AS size FROM part))),
 t AS (SELECT route, s AS pid, 0.0::DOUBLE AS cost, 0 AS n FROM w JOIN h x ON x.pid = s JOIN h y ON y.pid = g WHERE NOT x.closed AND NOT y.closed
- UNION ALL SELECT route, b, min(t.cost + e.cost), n + 1 FROM t JOIN e ON e.a = t.pid WHERE n < 16 GROUP BY route, b, n),
+ UNION ALL SELECT route, b, min(t.cost + e.cost), n + 1 FROM t JOIN e ON e.a = t.pid WHERE n < 24 GROUP BY route, b, n),
 f AS MATERIALIZED (SELECT route, pid, min(cost) AS cost FROM t GROUP BY route, pid),
 p AS MATERIALIZED (SELECT f.route, f.pid, min(o.pid) AS a FROM f JOIN e ON e.b = f.pid JOIN f o ON o.route = f.route AND o.pid = e.a WHERE o.cost + e.cost = f.cost GROUP BY f.route, f.pid),
 r AS (SELECT route, g AS pid, [g] AS pids FROM w UNION ALL SELECT r.route, p.a, list_prepend(p.a, pids) FROM r JOIN w USING (route) JOIN p ON p.route = r.route AND p.pid = r.pid WHERE r.pid <> w.s)
@@ -109,20 +111,20 @@ def exact_walks(spark: SparkSession, d: str) -> DataFrame:
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """(o, n, s): of each order the cross-sections' middles, one more than line items."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda i: i["l_quantity"].cast("double"))
-    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(items.alias("q"))  # at most seven an order
+    lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(items.alias("q"))  # the few lines of an order
     return lines.select("o", F.size("q").alias("n"), F.concat("q", F.slice("q", 1, 1)).alias("s"))
 
 
 def strips(spark: SparkSession, d: str) -> DataFrame:
     point = lambda k, up: F.struct((k * 10).cast("double").alias("x"), (F.col("o") * 100 + F.element_at("s", (k + 1).cast("int")) + up).alias("y"), F.lit(0.0).alias("z"))
-    quad = lambda k: F.struct((F.col("o") * 8 + k).alias("pid"), F.array(point(k, -4.0), point(k + 1, -4.0), point(k + 1, 4.0), point(k, 4.0)).alias("points"))
+    quad = lambda k: F.struct((F.col("o") * 64 + k).alias("pid"), F.array(point(k, -4.0), point(k + 1, -4.0), point(k + 1, 4.0), point(k, 4.0)).alias("points"))
     return _sections(spark, d).select(F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), quad)))
 
 
 def _strip_routes(spark: SparkSession, d: str) -> DataFrame:
     y = lambda k: F.col("o") * 100 + F.element_at("s", k)
     ends = {"ax": F.lit(0.0), "ay": y(1), "az": F.lit(0.0), "bx": (F.col("n") * 10).cast("double"), "by": y(-1), "bz": F.lit(0.0)}
-    return _sections(spark, d).select(F.col("o").alias("route"), (F.col("o") * 8).alias("from_pid"), (F.col("o") * 8 + F.col("n") - 1).alias("to_pid"), *[c.alias(n) for n, c in ends.items()])
+    return _sections(spark, d).select(F.col("o").alias("route"), (F.col("o") * 64).alias("from_pid"), (F.col("o") * 64 + F.col("n") - 1).alias("to_pid"), *[c.alias(n) for n, c in ends.items()])
 
 
 def _as_text(points: str = "points") -> Column:
@@ -130,7 +132,7 @@ def _as_text(points: str = "points") -> Column:
 
 
 _CROSS = "(({a}).x - ax) * (({b}).y - ay) - (({a}).y - ay) * (({b}).x - ax)"
-_STRIPS = """q AS (SELECT l_orderkey AS o, list(l_quantity::DOUBLE ORDER BY l_linenumber) AS q FROM lineitem GROUP BY 1),
+_STRIPS = """q AS (SELECT l_orderkey AS o, list(l_quantity::DOUBLE ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY 1),
 s AS (SELECT o, len(q) AS n, list_append(q, q[1]) AS s FROM q)"""
 
 
@@ -170,7 +172,7 @@ def clear_routes(spark: SparkSession, d: str) -> DataFrame:
     return got.select("route", F.size("points").alias("n"), F.transform("points", lambda p: F.struct(F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))).cast("array<struct<x:double,y:double>>").alias("points"))
 
 
-@_query(f"WITH {_STRIPS} SELECT o * 8 + k AS pid, CASE e WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS k FROM (SELECT *, unnest(range(n)) AS k FROM s), range(4) r(e) WHERE e IN (0, 1) OR e = 2 AND k = n - 1 OR e = 3 AND k = 0")
+@_query(f"WITH {_STRIPS} SELECT o * 64 + k AS pid, CASE e WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS k FROM (SELECT *, unnest(range(n)) AS k FROM s), range(4) r(e) WHERE e IN (0, 1) OR e = 2 AND k = n - 1 OR e = 3 AND k = 0")
 def open_borders(spark: SparkSession, d: str) -> DataFrame:
     """The sides of the strips that nobody can cross."""
     return routes.walls(strips(spark, d)).select("pid", "k")
