@@ -413,7 +413,8 @@ def _may_link(x: np.ndarray, y: np.ndarray, pct: int) -> tuple[np.ndarray, np.nd
     differ in all tokens of their own and in at least as many others as their sketches differ in bits."""
     total = x[1] + y[1]
     fits = np.minimum(x[1], y[1]) * 100 >= np.maximum(x[1], y[1]) * pct
-    differ = x[4] + y[4] + np.bitwise_count(x[5:] ^ y[5:]).sum(axis=0, dtype=np.int64)
+    # unsigned: NumPy counts the bits of a negative number's absolute value
+    differ = x[4] + y[4] + np.bitwise_count((x[5:] ^ y[5:]).view(np.uint64)).sum(axis=0, dtype=np.int64)
     return fits & (differ <= total - 2 * -(-total * pct // (100 + pct))), differ
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cairnfield.llm import jaccard
@@ -90,3 +91,22 @@ def test_holders_keep_every_wanted_row(spark, monkeypatch, most):
     assert {i for i in range(-500, 500) if i % 7 == 0} <= got
     assert len(got) <= 144 if most else len(got) == 143
     assert jaccard.holders(docs, wanted.limit(0)).count() == 0
+
+
+def test_sketches_rule_out_no_link():
+    """The least difference that sketches tell is never above the real one, whatever the signs of their words."""
+    from cairnfield.llm.textkit import mix
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)
+        own = [rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64) for _ in range(2)]
+        rows = []
+        for more in own:
+            bit = (mix(np.concatenate([both, more])) % np.uint64(64 * jaccard.WORDS)).astype(np.int64)
+            odd = np.bincount(bit, minlength=64 * jaccard.WORDS) & 1
+            rows.append(np.array([0, len(both) + len(more), 0, 0, 0, *np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)], np.int64)[:, None])
+        fits, differ = jaccard._may_link(*rows, 75)
+        assert differ[0] <= len(own[0]) + len(own[1])
+        if len(both) * 100 >= 75 * (len(both) + len(own[0]) + len(own[1])):
+            assert fits[0]
