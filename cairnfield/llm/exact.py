@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ROW, SPACES, materialize, with_row_keys, without_rows
+from .textkit import ROW, SPACES, materialize, release, with_row_keys, without_rows
 
 _KEY = ("digest", "n_norm", "check")
 #: Rows for which there is one run.
@@ -26,6 +26,14 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def merged(level: DataFrame, depth: int, fan_in: int, pieces: int, tasks: int) -> DataFrame:
+    """The runs of round ``depth``: those of the round before meet, sorted by digest, and are merged in one pass."""
+    run, piece = f"run{depth}", F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % pieces
+    met = level.withColumns({run: F.floor(F.col(f"run{depth - 1}") / fan_in), "piece": piece})
+    met = met.repartition(tasks, "piece", run).sortWithinPartitions("piece", run, *_KEY)
+    return met.groupBy("piece", run, *_KEY).agg(F.max("best").alias("best"), F.sum("members").alias("members")).drop("piece")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, fan_in: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -53,18 +61,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     leaf = leaf.withColumn("run0", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
     # ~id falls as the id rises, as -id does, but has a value for the least long, too
     best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not(F.col("doc_id").cast("long")).alias("neg")))
-    levels, left, depth = [leaf.groupBy(*_KEY, "run0").agg(best.alias("best"), F.count("*").alias("members"))], runs, 0
+    first = leaf.groupBy(*_KEY, "run0").agg(best.alias("best"), F.count("*").alias("members"))
+    levels, left = [materialize(first, "run0")], runs
     tasks = max(runs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while left > 1:
-        left, depth = -(-left // fan_in), depth + 1
-        run, piece = f"run{depth}", F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % max(1, tasks // left)
-        met = levels[-1].withColumns({run: F.floor(F.col(f"run{depth - 1}") / fan_in), "piece": piece})
-        met = met.repartition(tasks, "piece", run).sortWithinPartitions("piece", run, *_KEY)
-        levels.append(met.groupBy("piece", run, *_KEY).agg(F.max("best").alias("best"), F.sum("members").alias("members")).drop("piece"))
-    down = levels[-1].where("members > 1").drop("piece")
-    for k in range(depth - 1, -1, -1):
+        left, depth = -(-left // fan_in), len(levels)
+        levels.append(materialize(merged(levels[-1], depth, fan_in, max(1, tasks // left), tasks), f"run{depth}"))
+    down = levels[-1].where("members > 1")
+    for k in range(len(levels) - 2, -1, -1):
         below = levels[k].select(*_KEY, f"run{k}", F.floor(F.col(f"run{k}") / fan_in).alias(f"run{k + 1}"))
         down = below.join(down, [*_KEY, f"run{k + 1}"]).select(*_KEY, f"run{k}", "best", "members")
+    down = materialize(down, "keepers")
+    release(*levels)
     several = F.col("members").isNotNull()
     keep = F.when(several, F.bitwise_not(F.col("best.neg"))).otherwise(F.col("doc_id"))
     return leaf.join(down, [*_KEY, "run0"], "left").select(

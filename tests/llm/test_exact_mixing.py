@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from cairnfield.llm.exact import drop_copies, exact_groups
+from cairnfield.llm.exact import drop_copies, exact_groups, merged
 from cairnfield.llm.mixing import emit, mix, source_targets
 
 ROWS = [(7, "a b", "s"), (3, "ab", "s"), (4, " a\tb\n", None), (9, None, "z"), (2, "", "z"), (1, " ab", "s"), (5, "x " * 50_000, "é"), (6, "ab", "s"), (6, "ab", "s")]
@@ -68,9 +68,9 @@ def test_exact_extreme_ids_and_many_runs(spark):
 
 
 def test_exact_rounds_exchange_sorted_runs(spark):
-    """Each round is one exchange by piece and run, sorted by digest, and a merge of the sorted rows."""
-    docs = spark.createDataFrame([(i, str(i % 50)) for i in range(400)], "doc_id long, text string")
-    plan = exact_groups(docs, runs=4)._jdf.queryExecution().executedPlan().toString()
-    for k in (1, 2):
-        assert re.search(rf"Exchange hashpartitioning\(piece#\d+L?, run{k}#\d+L?, \d+\), REPARTITION_BY_NUM", plan)
+    """A round is one exchange by piece and run, sorted by digest, and a merge of the sorted rows, all built in."""
+    level = spark.sql("SELECT unhex(md5(string(id))) AS digest, int(id % 3) AS n_norm, unhex(md5(string(-id))) AS check, id % 4 AS run0, named_struct('n_points', 1, 'has', true, 'neg', id) AS best, 1L AS members FROM range(100)")
+    plan = merged(level, 1, 2, 3, 8)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) == 1 and re.search(r"Exchange hashpartitioning\(piece#\d+L?, run1#\d+L?, 8\), REPARTITION_BY_NUM", plan)
+    assert plan.count("SortAggregate") == 2 and len(re.findall(r"\bSort \[", plan)) == 1
     assert not re.search("Python|Arrow|Pandas", plan)
