@@ -441,17 +441,19 @@ def light_boundary(sets: DataFrame) -> int:
     """The set size up to which enumerating 2-subsets costs least in total (0: never).
 
     A row to shuffle (a subset, or an entry of an inverted list) costs 1, an entry scanned in a list
-    ``SCAN``. Sets within the size ratio of the boundary do both. The costs are summed per size class on the cluster; at most a few hundred sums are fetched."""
+    ``SCAN``. Sets within the size ratio of the boundary do both. Both passes shuffle the rows, and the lists of the second one hold every
+    subset that members of several components share, so the rows may at most double. The costs are summed per size class on the cluster; at most a
+    few hundred sums are fetched."""
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")) * 8) / 8)))
     p2 = F.least(F.col("p") + 1, F.size("h")).cast("double")
     scans = F.aggregate(F.slice("df", F.lit(1), F.col("p")), F.lit(0.0), lambda s, x: s + x)
     rows = sets.groupBy(step.cast("long").alias("size")).agg(F.sum(p2 * (p2 - 1) / 2).alias("subsets"), F.sum(scans).alias("scans"), F.sum("p").alias("posts")).orderBy("size").collect()
-    best, at = sum(r["posts"] + SCAN * r["scans"] for r in rows), 0
+    best, at, most = sum(r["posts"] + SCAN * r["scans"] for r in rows), 0, 2 * sum(r["posts"] for r in rows)
     for i, r in enumerate(rows):
         top = rows[i + 1]["size"] - 1 if i + 1 < len(rows) else r["size"] * 2
         subsets = sum(x["subsets"] for x in rows[: i + 1])
         cost = subsets + sum(x["posts"] + SCAN * x["scans"] for x in rows if x["size"] * 4 > 3 * top)
-        if cost < best:
+        if cost < best and subsets <= most:
             best, at = cost, int(top)
     return at
 
