@@ -41,26 +41,28 @@ def as_entities(df: DataFrame, lanes: dict[int, str] = LANES, source: str = "ext
     return df.withColumnRenamed("lane", "lane_number").withColumn("lane", lane_colour(F.col("lane_number"), lanes)).withColumn("source", F.lit(source)) if dict(df.dtypes).get("lane") != "string" else df.withColumn("source", F.lit(source)).withColumn("lane", F.coalesce("lane", colour))
 
 
-def near(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within ``radius`` (inclusive): all columns of left, and right's under ``r_``, ``dist``.
 
     Cells are as wide as the radius, so matches lie in the 27 cells around. The smaller side should
-    be ``right``: it is the one that is copied.
+    be ``right``: it is the one that is copied. Columns of ``by`` are equal on both sides, as keys of the join.
     """
     if radius < 0:
         raise ValueError("a radius must not be negative")
     if radius == 0:
         keys = ("x", "y", "z")
         r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-        return left.join(r, [left[c] == r[f"r_{c}"] for c in keys]).withColumn("dist", F.lit(0.0))
+        return left.join(r, [left[c] == r[f"r_{c}"] for c in (*keys, *by)]).withColumn("dist", F.lit(0.0))
     size = float(radius)
-    key = [F.col(c) for c in ("__i", "__j", "__k")]
     l = left.withColumns({n: cell(F.col(c), size) for n, c in zip(("__i", "__j", "__k"), "xyz", strict=True)})
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
     r = r.withColumn("__s", steps).withColumns({n: cell(F.col(f"r_{c}"), size) + F.col(f"__s.{s}") for n, c, s in zip(("__i", "__j", "__k"), "xyz", "abc", strict=True)}).drop("__s")
     d = distance(Vec.of(), Vec.of("r_"))
-    return l.join(r, ["__i", "__j", "__k"]).drop(*[k for k in ("__i", "__j", "__k")]).withColumn("dist", d).where(F.col("dist") <= size)
+    keys = ["__i", "__j", "__k"]
+    l, r = (x.withColumns({f"__by{i}": F.col(p + c) for i, c in enumerate(by)}) for x, p in ((l, ""), (r, "r_")))
+    keys += [f"__by{i}" for i in range(len(by))]
+    return l.join(r, keys).drop(*keys).withColumn("dist", d).where(F.col("dist") <= size)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float | None = None, id_col: str = ORD) -> DataFrame:
@@ -125,7 +127,7 @@ def _top(got: DataFrame, left: DataFrame, k: int, id_col: str) -> DataFrame:
     return top.select(id_col, *own, F.posexplode("__t").alias("rank", "__e")).select(id_col, *own, (F.col("rank") + 1).alias("rank"), "__e.*")
 
 
-#: Most targets that are broadcast where there is no range.
+#: Targets that are broadcast at a time where there is no range.
 SMALL = 10_000
 
 
@@ -184,10 +186,17 @@ def density(points: DataFrame, size: float) -> Seq:
     return Seq(got.withColumn("key", F.concat_ws(",", F.col("ix").cast("string"), F.col("iy").cast("string"))).withColumn(ORD, packed("ix", "iy")))
 
 
-def near_duplicates(df: DataFrame, radius: float, id_col: str = "id", by: str = "kind") -> DataFrame:
-    """Pairs of one kind closer than ``radius`` (strictly), each once: a_id, b_id, dist."""
+def near_duplicates(df: DataFrame, radius: float | dict[str, float], id_col: str = "id", by: str = "kind") -> DataFrame:
+    """Pairs of one kind closer than ``radius`` (strictly; or than each kind's, others have none), each once: a_id, b_id, dist."""
     side = df.select(ORD, F.col(id_col).alias("id"), F.col(by).alias("by"), "x", "y", "z")
-    got = near(side, side, radius).where((F.col("by") == F.col("r_by")) & (F.col(ORD) < F.col(f"r_{ORD}")) & (F.col("dist") < radius))
+    if isinstance(radius, dict):
+        if not radius:
+            return side.where("false").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.col("x").alias("dist"))
+        least = F.create_map(*[F.lit(v) for kv in radius.items() for v in kv])[F.col("by")]
+        side, most = side.where(F.col("by").isin(*radius)), max(radius.values())
+    else:
+        least, most = F.lit(radius), radius
+    got = near(side, side, most, ("by",)).where((F.col(ORD) < F.col(f"r_{ORD}")) & (F.col("dist") < least))
     return got.select(F.col("id").alias("a_id"), F.col("r_id").alias("b_id"), "dist")
 
 

@@ -31,7 +31,7 @@ def merge_outcomes(records: DataFrame, entities: DataFrame, radius: float, same_
     if not same_build:
         return accepted.select(ORD, "id", "kind", F.lit("ignored").alias("outcome"), F.lit(None).cast("string").alias("duplicate_of"))
     points = accepted.where(F.col("kind").isin(*POINT_KINDS))
-    close = near(points.select(ORD, "kind", "x", "y", "z"), entities.select(ORD, F.col("id").cast("string").alias("id"), "kind", "x", "y", "z"), radius).where("kind = r_kind")
+    close = near(points.select(ORD, "kind", "x", "y", "z"), entities.select(ORD, F.col("id").cast("string").alias("id"), "kind", "x", "y", "z"), radius, ("kind",))
     first = close.groupBy(ORD).agg(F.min_by("r_id", f"r_{ORD}").alias("duplicate_of"))
     is_point = F.col("kind").isin(*POINT_KINDS)
     outcome = F.when(is_point & F.col("duplicate_of").isNotNull(), "duplicate").when(is_point, "added").otherwise("applied")
@@ -131,14 +131,14 @@ def validate(records: DataFrame, low: tuple[float, float, float], high: tuple[fl
     twice = records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     # the earlier record is flagged; the later one must be live (a null status is)
     dead = records.where("status in ('rejected', 'stale')").select(F.col("id").alias("b_id")).distinct()
-    close = [near_duplicates(records.where(F.col("kind") == k), r).join(dead, "b_id", "left_anti").select(F.col("a_id").alias("id"), F.col("b_id")) for k, r in radii.items()]
+    close = near_duplicates(records, radii).join(dead, "b_id", "left_anti").select(F.col("a_id").alias("id"), "b_id")
     rules = [
         _issues(twice, "duplicate-id", F.format_string("id used %d times", "n")),
         _issues(records.where(F.coalesce(out_of, F.lit(False))), "out-of-bounds", "outside the map"),
         _issues(records.where(F.size("ring") >= 3).where(ring_area(F.col("ring")) < min_area), "polygon-no-area", "the ring has no area"),
         _issues(records.where(repeated_vertex(F.col("ring"))), "polygon-repeated-vertex", "a vertex comes twice"),
         _issues(records.where(~repeated_vertex(F.col("ring")) & self_intersects(F.col("ring"))), "polygon-self-intersects", "two edges meet"),
-        *[_issues(c, "duplicate-nearby", F.concat(F.lit("near "), F.col("b_id").cast("string"))) for c in close],
+        _issues(close, "duplicate-nearby", F.concat(F.lit("near "), F.col("b_id").cast("string"))),
     ]
     return reduce(DataFrame.unionByName, rules)
 

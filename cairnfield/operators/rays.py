@@ -8,6 +8,7 @@ cells they cross, so candidates meet in a hash join; the hit test is a column ex
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,8 +105,8 @@ def occluded(pairs: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
 def visible(viewpoints: DataFrame, targets: DataFrame, triangles: DataFrame, size: float, eye: float = EYE_HEIGHT, target: float = TARGET_HEIGHT, reach: float | None = MAX_RANGE) -> DataFrame:
     """(ord, v_ord) of every target that a viewpoint sees: lifted points in range, nothing between.
 
-    In range comes first, as a cell join; a line of sight without limits passes ``reach=None`` and
-    then pairs all viewpoints, which must be few, with all targets.
+    In range comes first, as a cell join. A line of sight without limits passes ``reach=None``: its result may hold every
+    target and viewpoint, so all are tested, ``SMALL`` viewpoints (broadcast) at a time.
     """
     from cairnfield.operators.entities import SMALL, near
 
@@ -114,9 +115,10 @@ def visible(viewpoints: DataFrame, targets: DataFrame, triangles: DataFrame, siz
     if reach is not None:
         got = near(t, v, reach)
     else:
-        if v.limit(SMALL + 1).count() > SMALL:
-            raise ValueError(f"without a range at most {SMALL} viewpoints")
-        got = t.crossJoin(F.broadcast(v.select([F.col(c).alias(f"r_{c}") for c in v.columns])))
+        v = v.select([F.col(c).alias(f"r_{c}") for c in v.columns])
+        blocks = max(1, -(-v.count() // SMALL))
+        part = F.pmod(F.xxhash64(f"r_{ORD}"), F.lit(blocks))
+        got = reduce(DataFrame.unionByName, [t.crossJoin(F.broadcast(v.where(part == i))) for i in range(blocks)])
     pairs = got.select(F.struct(ORD, f"r_{ORD}").alias("ray"), *[F.col(f"r_{c}").alias(f"a{c}") for c in "xyz"], *[F.col(c).alias(f"b{c}") for c in "xyz"])
     return pairs.join(occluded(pairs, triangles, size), "ray", "left_anti").select(F.col(f"ray.{ORD}").alias(ORD), F.col(f"ray.r_{ORD}").alias(f"v_{ORD}"))
 

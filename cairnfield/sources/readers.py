@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -81,6 +82,107 @@ def typed_entities(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), n.cast("string")))).drop("base")
 
 
+#: Values of an entity text.
+_INDEX = re.compile(r"^=+\s*(\d+)\s*=+$")
+_NUMBER = re.compile(r"^-?\d+(\.\d+)?(e[+-]?\d+)?$", re.I)
+_RESOURCE = re.compile(r'^resource_name:"(.*)"$')
+_APART = re.compile(r"[\s,\[\]]+")
+
+
+def _number(text: str) -> float | int:
+    return int(text) if re.fullmatch(r"-?\d+", text) else float(text)
+
+
+def typed_value(raw: str):
+    """One value: a quoted text, a list in brackets (of numbers if all are), a resource's name, true or false, a number, else the bare word."""
+    v = raw.strip()
+    if len(v) >= 2 and v[0] == v[-1] == '"':
+        return v[1:-1]
+    if v.startswith("[") and v.endswith("]"):
+        parts = [p for p in (x.strip() for x in v[1:-1].split(",")) if p]
+        return [_number(p) for p in parts] if all(map(_NUMBER.match, parts)) else parts
+    if m := _RESOURCE.match(v):
+        return m[1]
+    return {"true": True, "false": False}[v] if v in ("true", "false") else _number(v) if _NUMBER.match(v) else v
+
+
+def parse_entities(text: str) -> Iterator[tuple[int, dict, list[str]]]:
+    """(number, values, output lines) of each block of an entity text.
+
+    A quoted value that its line doesn't close goes on to the line that ends with the quote (three quotes, if it began with three), or to
+    the block's end; its lines are joined by a space, and if they hold numbers only it is a list of these. Lines that begin with @ are
+    outputs; lines before the first block and without a value are left out; of a repeated key the last value stays."""
+    block: tuple[int, dict, list[str]] | None = None
+    key, quote, lines = None, "", []
+
+    def close() -> None:
+        parts = [p for p in _APART.split(" ".join(lines)) if p]
+        block[1][key] = [_number(p) for p in parts] if all(map(_NUMBER.match, parts)) else " ".join(lines)
+
+    for line in map(str.strip, text.split("\n")):
+        mark = _INDEX.match(line)
+        if key is not None and not mark:
+            ends = line.endswith(quote)
+            lines.append(line[: -len(quote)] if ends else line)
+            if ends:
+                close()
+                key = None
+        elif mark:
+            if key is not None:
+                close()
+                key = None
+            if block:
+                yield block
+            block = (int(mark[1]), {}, [])
+        elif block and line.startswith("@"):
+            block[2].append(line)
+        elif block and (m := _PAIR.match(line)):
+            value = m[2].strip()
+            if value.startswith('"') and (value == '"""' or len(value) < 2 or not value.endswith('"')):
+                quote = '"""' if value.startswith('"""') else '"'
+                key, lines = m[1], [value[len(quote) :]]
+            else:
+                block[1][m[1]] = typed_value(value)
+    if key is not None:
+        close()
+    if block:
+        yield block
+
+
+def read_typed_entities(spark: SparkSession, path: str) -> DataFrame:
+    """Entities of the entity texts under ``path``: file, ord (the block's place), id, class, x, y, z, rotation, team, lane, properties.
+
+    A block needs a classname. Its id is the unique id, else e and its number; from the second of an id on, #number is added. A missing
+    position is the origin. ``properties`` is a variant of all other values by name, the output lines among them."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches):
+        for b in batches:
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = list(parse_entities(text))
+                rows = [json.dumps(v | ({"outputs": o} if o else {})) for _, v, o in got]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array([n for n, _, _ in got], pa.int64()), pa.array(rows, pa.string())], ["file", "ord", "number", "values"])
+
+    v = F.col("v")
+    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    is_text = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE)")
+    rows = texts.mapInArrow(run, f"file string, {ORD} long, number long, values string").withColumn("v", F.parse_json("values"))
+    rows = rows.where(F.schema_of_variant(F.try_variant_get(v, "$.classname", "variant")) == "STRING")
+    base = F.when(is_text("hammeruniqueid"), get("hammeruniqueid", "string"))
+    rows = rows.withColumn("base", F.coalesce(base, F.concat(F.lit("e"), F.col("number").cast("string"))))
+    nth = F.row_number().over(Window.partitionBy("file", "base").orderBy(ORD))
+    ident = F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), F.col("number").cast("string")))
+    three = lambda name: F.when((F.size(get(name, "array<double>")) >= 3) & ~F.exists(F.slice(get(name, "array<double>"), 1, 3), lambda x: x.isNull()), F.slice(get(name, "array<double>"), 1, 3))
+    number = lambda name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE)"), get(name, "double"))
+    taken = ("classname", "origin", "angles", "teamnumber", "lanenum")
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*taken))
+    at = F.coalesce(three("origin"), F.array(*[F.lit(0.0)] * 3))
+    return rows.select(
+        "file", ORD, ident.alias("id"), get("classname", "string").alias("class"), *[at[i].alias(c) for i, c in enumerate("xyz")],
+        three("angles").alias("rotation"), number("teamnumber").cast("int").alias("team"), number("lanenum").cast("int").alias("lane"), F.to_variant_object(rest).alias("properties"),
+    )
+
+
 def parse_nav(data: bytes) -> tuple[list[tuple[float, float, float]], list[list[int]]]:
     """Vertices and faces of a packed navigation table: counts, float triples, then faces of 3..16 indices."""
     if len(data) < 8:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.functions import nested
 from cairnfield.operators import tiles
+from cairnfield.sources import readers
 
 
 def plain_rows(value, prefix="", depth=0):
@@ -120,3 +121,54 @@ def test_files_of_a_folder(spark, tmp_path):
     named = spark.createDataFrame([("tile", "a.bin", 3, sha(b"one").upper()), ("tile", "sub/b.bin", 3, sha(b"two")), ("tile", "c.bin", 9, sha(b"other")), ("grid", "d.bin", 3, sha(b"old")), ("mesh", "e.bin", None, None), ("mesh", "a.bin", None, None)], "what string, file string, bytes long, sha256 string")
     got = {(r.code, r.subject) for r in tiles.verified_files(named, str(tmp_path)).collect()}
     assert got == {("file.size", "c.bin"), ("file.digest", "d.bin"), ("file.missing", "e.bin")}
+
+
+TEXT = """junk before
+====3====
+classname  npc_boss
+hammeruniqueid "17"
+origin [ 1.5, -2, 3 ]
+angles [0, 90, 0]
+teamnumber 2
+lanenum 1
+model resource_name:"models/a.vmdl"
+flag true
+word bare
+odd [ 1, x ]
+empty ""
+nodes \"\"\"
+[ 1.0, 2.0, 3.0 ]
+4
+\"\"\"
+note "two
+lines"
+@OnTrigger door,Open
+@OnEnd door,Close
+==== 4 ====
+classname npc_boss
+hammeruniqueid 17
+origin [1, x, 3]
+open "never
+closed
+====5====
+hammeruniqueid 9
+====6====
+classname other
+scale -1.5e2
+"""
+
+
+def test_typed_entity_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(TEXT)
+    rows = {r.id: r for r in readers.read_typed_entities(spark, str(tmp_path / "a.txt")).withColumn("properties", F.to_json("properties")).collect()}
+    assert set(rows) == {"17", "17#4", "e6"}
+    one = rows["17"]
+    assert (one["class"], one.x, one.y, one.z, one.rotation, one.team, one.lane) == ("npc_boss", 1.5, -2.0, 3.0, [0, 90, 0], 2, 1)
+    assert json.loads(one.properties) == {
+        "hammeruniqueid": "17", "model": "models/a.vmdl", "flag": True, "word": "bare", "odd": ["1", "x"], "empty": "", "nodes": [1.0, 2.0, 3.0, 4], "note": "two lines",
+        "outputs": ["@OnTrigger door,Open", "@OnEnd door,Close"],
+    }
+    two = rows["17#4"]
+    assert (two.x, two.y, two.z, two.rotation, two.team) == (0.0, 0.0, 0.0, None, None) and json.loads(two.properties)["open"] == "never closed"
+    assert json.loads(rows["e6"].properties) == {"scale": -150.0}
+    assert list(readers.parse_entities("")) == [] and list(readers.parse_entities("==1==\nk")) == [(1, {}, [])]
