@@ -4,13 +4,14 @@ import hashlib
 import json
 import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.functions import nested
 from cairnfield.operators import tiles
-from cairnfield.sources import readers
+from cairnfield.sources import collision, readers
 
 
 def plain_rows(value, prefix="", depth=0):
@@ -172,3 +173,42 @@ def test_typed_entity_text(spark, tmp_path):
     assert (two.x, two.y, two.z, two.rotation, two.team) == (0.0, 0.0, 0.0, None, None) and json.loads(two.properties)["open"] == "never closed"
     assert json.loads(rows["e6"].properties) == {"scale": -150.0}
     assert list(readers.parse_entities("")) == [] and list(readers.parse_entities("==1==\nk")) == [(1, {}, [])]
+
+
+def glb(doc, body):
+    text = json.dumps(doc).encode()
+    text += b" " * (-len(text) % 4)
+    body += b"\0" * (-len(body) % 4)
+    return struct.pack("<III", 0x46546C67, 2, 28 + len(text) + len(body)) + struct.pack("<II", len(text), 0x4E4F534A) + text + struct.pack("<II", len(body), 0x004E4942) + body
+
+
+def test_collision_mesh_through_its_node_tree(spark, tmp_path):
+    points = struct.pack("<12f", 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0, 1)
+    body = points + struct.pack("<6H", 0, 1, 2, 0, 2, 3)
+    doc = {
+        "nodes": [
+            {"children": [1, 2], "translation": [10, 0, 0]}, {"mesh": 0, "scale": [2, 2, 2], "children": [3]}, {"mesh": 0, "extras": {"InteractAs": ["sky", 4]}},
+            {"mesh": 0, "matrix": [-1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 5, 1]}, {"mesh": 1, "rotation": [0, 0, 0.5**0.5, 0.5**0.5], "extras": {"InteractAs": "sky"}},
+        ],
+        "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}, {"attributes": {"POSITION": 0}, "mode": 1}]}, {"primitives": [{"attributes": {"POSITION": 0}}]}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": 4, "type": "VEC3"}, {"bufferView": 1, "componentType": 5123, "count": 6, "type": "SCALAR"}],
+        "bufferViews": [{"buffer": 0, "byteLength": 48}, {"buffer": 0, "byteOffset": 48, "byteLength": 12}],
+    }
+    (tmp_path / "a.glb").write_bytes(glb(doc, body))
+    swap = [0, 0, 1, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1]  # x, y, z to z, x, y ... by columns
+    soup, left = collision.read_collision(spark, str(tmp_path / "a.glb"), [float(x) for x in swap], ("sky",))
+    got = {tuple(r.tid): [tuple(round(r[n + c], 6) for c in "xyz") for n in "abc"] for r in soup.collect()}
+    world = lambda p: (p[1], p[2], p[0])
+    tri = [[(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(0, 0, 0), (0, 1, 0), (0, 0, 1)]]
+    want = {}
+    for k, t in enumerate(tri):
+        want[1, 0, k] = [world((2 * x + 10, 2 * y, 2 * z)) for x, y, z in t]
+        a, b, c = [world((-2 * x + 10, 2 * y, 2 * (z + 5))) for x, y, z in t]
+        want[3, 0, k] = [a, c, b]  # mirrored
+    want[4, 0, 0] = [world((-y, x, z)) for x, y, z in tri[0]]
+    assert got == want
+    assert [r.node for r in left.collect()] == [2]
+    with pytest.raises(ValueError, match="past the end"):
+        list(collision.triangles_of(glb(doc, body[:20])))
+    with pytest.raises(ValueError, match="not a binary"):
+        collision.nodes_of(b"x" * 40)
