@@ -250,4 +250,4 @@ def cells_and_distances(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("id", cell(F.col("x"), 512.0).alias("ix"), F.split(r["key"], ",")[1].alias("iy"), half_up(distance(Vec.of(), Vec.at(0, 0, 0)), 3).alias("from_origin"))
 
 
-from cairnfield.plans import bundle_queries, mesh_queries, route_queries, scene_queries, sight_queries  # noqa: E402, F401  (register the rest)
+from cairnfield.plans import bundle_queries, mesh_queries, route_queries, scene_queries, shape_queries, sight_queries  # noqa: E402, F401  (register the rest)
