@@ -49,7 +49,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
     n, k = _table(spark, d, "part").count(), F.col("s_suppkey")
     f = k * 37 % n
-    step = F.when(f % 40 < 20, 85).otherwise(75) * F.when(f < n / 2, 1).otherwise(-1)
+    step = F.when(f < n / 2, F.when(f % 40 < 20, 85).otherwise(75)).otherwise(F.when(f % 40 < 20, -75).otherwise(-85))
     return _table(spark, d, "supplier").select(k.alias("route"), f.alias("from_pid"), (f + step).alias("to_pid"))
 
 
@@ -75,7 +75,7 @@ def _terrain_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH RECURSIVE {_GRAPH},
-w AS (SELECT *, s + CASE WHEN s % 40 < 20 THEN 85 ELSE 75 END * CASE WHEN s < size / 2 THEN 1 ELSE -1 END AS g FROM (SELECT s_suppkey AS route, s_suppkey * 37 % size AS s, size FROM supplier, (SELECT count(*) AS size FROM part))),
+w AS (SELECT *, s + CASE WHEN s < size / 2 THEN CASE WHEN s % 40 < 20 THEN 85 ELSE 75 END ELSE CASE WHEN s % 40 < 20 THEN -75 ELSE -85 END END AS g FROM (SELECT s_suppkey AS route, s_suppkey * 37 % size AS s, size FROM supplier, (SELECT count(*) AS size FROM part))),
 t AS (SELECT route, s AS pid, 0.0::DOUBLE AS cost, 0 AS n FROM w JOIN h x ON x.pid = s JOIN h y ON y.pid = g WHERE NOT x.closed AND NOT y.closed
  UNION ALL SELECT route, b, min(t.cost + e.cost), n + 1 FROM t JOIN e ON e.a = t.pid WHERE n < 24 GROUP BY route, b, n),
 f AS MATERIALIZED (SELECT route, pid, min(cost) AS cost FROM t GROUP BY route, pid),

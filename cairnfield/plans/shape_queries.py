@@ -34,7 +34,7 @@ def edited_shapes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("o", text(shapes.moved_vertex(p, F.lit(1), at(-5.0))).alias("moved"), text(shapes.with_vertex(p, kind, i, at(-7.0))).alias("grown"), text(shapes.without_vertex(p, kind, i)).alias("less"))
 
 
-_AT = "(o % 60)::DOUBLE AS px, (o * 7 % 50)::DOUBLE AS py"
+_AT = "o % 60 + 0.37::DOUBLE AS px, (o * 7 % 50)::DOUBLE AS py"
 
 
 @_query(f"""WITH {_KINDS}, e AS (SELECT o, n, kind, {_AT}, i, i * 10.0::DOUBLE AS sx, q[i + 1] AS sy, (i + 1) % n * 10.0::DOUBLE AS ex, q[(i + 1) % n + 1] AS ey FROM (SELECT *, unnest(range(n)) AS i FROM k)),
@@ -44,7 +44,7 @@ v AS (SELECT o, i, sqrt((px - sx) ** 2 + (py - sy) ** 2) AS d FROM e), w AS (SEL
 SELECT k.o, after::INT AS after, x, vertex::INT AS vertex FROM k LEFT JOIN b ON b.o = k.o LEFT JOIN w ON w.o = k.o""")
 def nearest_parts(spark: SparkSession, d: str) -> DataFrame:
     """The edge and the vertex of each shape that are nearest to a pixel."""
-    px, py = (F.col("o") % 60).cast("double"), (F.col("o") * 7 % 50).cast("double")
+    px, py = F.col("o") % 60 + F.lit(0.37), (F.col("o") * 7 % 50).cast("double")
     edge = shapes.nearest_edge(F.col("points"), F.col("kind"), px, py)
     got = _shapes(spark, d).select("o", edge.alias("e"), shapes.nearest_vertex(F.col("points"), px, py).alias("vertex"))
     return got.select("o", "e.after", F.round("e.point.x", 6).alias("x"), "vertex")
