@@ -48,12 +48,12 @@ def _along(s: Column, e: Column, px: Column, py: Column) -> tuple[Column, Column
     dx, dy = e["x"] - s["x"], e["y"] - s["y"]
     n = dx * dx + dy * dy
     t = F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - s["x"]) * dx + (py - s["y"]) * dy) / F.nullif(n, F.lit(0.0)))))
-    return t, F.hypot(px - (s["x"] + t * dx), py - (s["y"] + t * dy))
+    return t, F.hypot(px - s["x"] - t * dx, py - s["y"] - t * dy)
 
 
 def nearest_edge(points: Column, kind: Column, px: Column, py: Column, project: Project = flat, radius: float = EDGE_RADIUS) -> Column:
     """(after, point): the edge nearest to a pixel within ``radius`` and the point on it; a polygon has a closing edge. Of equally near
-    ones the last. Null if there is none, and for kinds of fixed size."""
+    ones (to a billionth: two edges that meet in the nearest vertex) the last. Null if there is none, and for kinds of fixed size."""
     n = F.size(points)
 
     def edge(i: Column) -> Column:
@@ -63,7 +63,8 @@ def nearest_edge(points: Column, kind: Column, px: Column, py: Column, project:
         return F.struct(d.alias("d"), (-i).alias("last"), i.alias("after"), at.alias("point"))
 
     every = F.sequence(F.lit(0), F.when(kind == "polygon", n).otherwise(n - 1) - 1)
-    best = F.array_min(F.filter(F.transform(F.when(n >= 2, every), edge), lambda e: e["d"] <= radius))
+    met = F.filter(F.transform(F.when(n >= 2, every), edge), lambda e: e["d"] <= radius)
+    best = F.array_min(F.transform(met, lambda e: F.struct(F.round(e["d"], 9).alias("d"), e["last"].alias("last"), e["after"].alias("after"), e["point"].alias("point"))))
     return F.when(_free(kind) & best.isNotNull(), F.struct(best["after"].alias("after"), best["point"].alias("point")))
 
 

@@ -222,3 +222,31 @@ def test_readers(spark, tmp_path):
     assert [p.x for p in readers.read_nav(spark, str(tmp_path / "n.nav")).first().points] == [0.0, 3.0, 6.0]
     with pytest.raises(ValueError, match="past the end"):
         readers.parse_nav(data[:-1])
+
+
+def test_centroids_on_an_edge_of_a_region(spark):
+    c = spark.createDataFrame([(0, 0.0, 5.0, 0.0), (1, 5.0, 0.0, 0.0), (2, 5.0, 5.0, 0.0), (3, 10.0, 5.0, 0.0)], "pid long, x double, y double, z double")
+    r = spark.createDataFrame([("r", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], 0.0)], "id string, ring array<struct<x:double,y:double>>, floor_z double")
+    assert sorted(x.pid for x in metadata.polygons_in_regions(c, r, 1.0).collect()) == [0, 1, 2]
+    assert [x.pid for x in metadata.polygons_in_regions(c, r, 1.0, edges=False).collect()] == [2]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_check_decides_on_a_side(spark, monkeypatch, few):
+    monkeypatch.setattr(rays, "FEW_TRIANGLES", few)
+    floor = soup(spark, [((0.1, 0.2, 5), (1500.1, 0.2, 5), (0.1, 1500.2, 5))])
+    p = points(spark, [("side", 900.1, 600.2, 0), ("in", 500, 500, 0), ("out", 900.1, 600.3, 0)])
+    side = F.col("ox") - F.col("ax") + (F.col("oy") - F.col("ay"))
+    got = lambda check: sorted(r.ray for r in rays.hits(rays.vertical(p, True, 10.0), floor, 1000.0, True, check).collect())
+    assert got(side <= 1500.0001) == [0, 1]
+    assert got(side < 1499.9999) == [1]
+
+
+def test_edges_equally_near_but_for_rounding(spark):
+    # a flat polygon whose closing edge lies on its second one: the last is taken, though its distance is a rounding larger
+    from cairnfield.functions import shapes
+
+    row = spark.createDataFrame([([(0.0, 3.0, 0.0), (10.0, 3.0, 0.0), (20.0, 3.0, 0.0)],), ([(0.0, 7.0, 0.0), (10.0, 26.0, 0.0), (20.0, 45.0, 0.0)],)], "points array<struct<x:double,y:double,z:double>>")
+    got = lambda x, y: [r[0] for r in row.select(shapes.nearest_edge(F.col("points"), F.lit("polygon"), F.lit(x), F.lit(y))["after"]).collect()]
+    assert got(15.37, 3.0)[0] == 2
+    assert got(20.37, 41.0)[1] == 2
