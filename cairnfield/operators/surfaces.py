@@ -6,12 +6,19 @@ distance is a column expression, and a shape's candidates are reduced by partial
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnfield.functions.geometry import Vec, cell, closest_on_segment, closest_on_triangle, half_up, inner_gap
+from cairnfield.functions.geometry import Vec, bound, cell, closest_on_segment, half_up, inner_gap, with_closest_on_triangle
 from cairnfield.operators.rays import hit_distance, hits, in_cells, occluded
 from cairnfield.operators.sequence import ORD
+from cairnfield.plans.storage import materialize, shuffled
+
+#: Triangles that a shape meets in the first round, about.
+FEW = 8.0
 
 #: Rays that lean a little off the vertical, so that none runs along an edge (fixed values).
 TILT = (0.0123, 0.0071)
@@ -24,42 +31,112 @@ def _corners() -> list[Vec]:
     return [Vec.of(n) for n in "abc"]
 
 
+def _candidates_a_shape(triangles: DataFrame) -> tuple[Callable[[float], float], dict[str, float]]:
+    """How many triangles' boxes, grown by a reach, a point meets, were they even; and the mean sides of the boxes."""
+    side = {c: (F.least(f"a{c}", f"b{c}", f"c{c}"), F.greatest(f"a{c}", f"b{c}", f"c{c}")) for c in "xyz"}
+    aggs = [f for c, (lo, hi) in side.items() for f in (F.min(lo).alias(f"lo_{c}"), F.max(hi).alias(f"hi_{c}"), F.avg(hi - lo).alias(f"mean_{c}"))]
+    r = triangles.agg(F.count("*").alias("n"), *aggs).first()
+    mean = {c: float(r[f"mean_{c}"] or 0.0) for c in "xyz"}
+    span = {c: float(r[f"hi_{c}"] or 0.0) - float(r[f"lo_{c}"] or 0.0) for c in "xyz"}
+    return lambda reach: r["n"] * math.prod(min(1.0, (mean[c] + 2 * reach) / (span[c] + 2 * reach)) for c in "xyz"), mean
+
+
 def closest_points(points: DataFrame, triangles: DataFrame, reach: float) -> DataFrame:
     """The nearest surface point within ``reach`` (inclusive) of each point that has one: ord, tid, distance,
     x, y, z and the triangle's normal nx, ny, nz. Ties go to the smaller tid.
 
-    Triangles are dealt to the cells around them, points to their own cell only."""
+    Points are sought in rounds: one that has a triangle within a round's width is settled, as its nearest is among those;
+    for the rest the width doubles, up to ``reach``. The first width gives a point about ``FEW`` triangles, so that the
+    pairs tested don't grow with the density of triangles."""
+    expected, mean = _candidates_a_shape(triangles)
+    width = float(reach)
+    while width > 0 and expected(width) > FEW and expected(width / 2) < expected(width) and width > reach / 2**20:
+        width /= 2
+    rest, out = points.select(ORD, *"xyz"), None
+    while True:
+        got = _closest_within(rest, triangles, width, mean)
+        if width >= reach:
+            return got if out is None else out.unionByName(got)
+        got = materialize(got, "closest")
+        out = got if out is None else out.unionByName(got)
+        found = got.select(F.col(ORD).alias("__found"))
+        rest = materialize(rest.join(found, F.col(ORD).eqNullSafe(F.col("__found")), "left_anti"), "closest-rest")
+        if rest.isEmpty():
+            return out
+        width = min(2 * width, float(reach))
+
+
+def _closest_within(points: DataFrame, triangles: DataFrame, reach: float, mean: dict[str, float]) -> DataFrame:
+    """Triangles are dealt to the cells around them, points to their own cell only. Cells are not much smaller than a triangle."""
     pad = reach * (1 + 1e-9)
-    p = points.select(ORD, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), cell(F.col("x"), pad).alias("ix"), cell(F.col("y"), pad).alias("iy"))
-    got = p.join(in_cells(triangles, pad, pad), ["ix", "iy"]).where((F.col("pz") >= F.least("az", "bz", "cz") - pad) & (F.col("pz") <= F.greatest("az", "bz", "cz") + pad))
-    got = got.withColumn("q", closest_on_triangle(Vec.of("p"), *_corners())).withColumn("distance", F.sqrt("q.d2")).where(F.col("distance") <= reach)
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat, tall = max(pad, (mean["x"] + mean["y"]) / 8) or 1.0, max(2 * pad, mean["z"] / 4) or 1.0
+    t = in_cells(triangles, flat, pad)
+    t = t.withColumn("iz", F.explode(F.sequence(cell(F.least("az", "bz", "cz") - pad, tall), cell(F.greatest("az", "bz", "cz") + pad, tall))))
+    p = points.select(ORD, *[F.col(c).alias("p" + c) for c in "xyz"], cell(F.col("x"), flat).alias("ix"), cell(F.col("y"), flat).alias("iy"), cell(F.col("z"), tall).alias("iz"))
+    keys = ["ix", "iy", "iz"]
+    got = p.repartition(n, *keys).join(shuffled(t.repartition(n, *keys)), keys)
+    for c in "zxy":
+        got = got.where((F.col("p" + c) >= F.least(f"a{c}", f"b{c}", f"c{c}") - pad) & (F.col("p" + c) <= F.greatest(f"a{c}", f"b{c}", f"c{c}") + pad))
+    got = with_closest_on_triangle(got, Vec.of("p"), *_corners()).withColumn("distance", F.sqrt("q.d2"))
     best = got.groupBy(ORD).agg(F.min_by(F.struct("tid", "distance", "q.x", "q.y", "q.z", "nx", "ny", "nz"), F.struct("distance", "tid")).alias("b"))
-    return best.select(ORD, "b.*")
+    return best.where(F.col("b.distance") <= reach).select(ORD, "b.*")  # only here: a filter before would compute each distance twice
 
 
 def _met(shapes: DataFrame, triangles: DataFrame, size: float, low: Vec, high: Vec) -> DataFrame:
-    """Shapes with the triangles whose boxes share a cell and a height with theirs."""
-    s = shapes.withColumns({"__lo": low.z, "__hi": high.z})
+    """Shapes with the triangles whose boxes share a cell with theirs and meet them; several times where they share several."""
+    n = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = shapes.withColumns({f"__{e}{c}": getattr(v, c) for e, v in (("lo", low), ("hi", high)) for c in "xyz"})
     s = s.withColumn("ix", F.explode(F.sequence(cell(low.x, size), cell(high.x, size)))).withColumn("iy", F.explode(F.sequence(cell(low.y, size), cell(high.y, size))))
-    return s.join(in_cells(triangles, size), ["ix", "iy"]).where((F.col("__hi") >= F.least("az", "bz", "cz")) & (F.col("__lo") <= F.greatest("az", "bz", "cz")))
+    got = s.repartition(n, "ix", "iy").join(shuffled(in_cells(triangles, size).repartition(n, "ix", "iy")), ["ix", "iy"])
+    for c in "zxy":
+        # a hair wider against rounding of the grown box
+        wide = (F.abs(f"__lo{c}") + F.abs(f"__hi{c}")) * 1e-12
+        got = got.where((F.col(f"__hi{c}") + wide >= F.least(f"a{c}", f"b{c}", f"c{c}")) & (F.col(f"__lo{c}") - wide <= F.greatest(f"a{c}", f"b{c}", f"c{c}")))
+    return got
+
+
+def _any(shapes: DataFrame, triangles: DataFrame, size: float, low: Vec, high: Vec, gap: Callable[[DataFrame], DataFrame], test: Callable[[Column, Column], Column]) -> DataFrame:
+    """The shapes (by ord, with a radius) for which the distance to a triangle, whose square ``gap`` adds as gap, passes ``test``.
+
+    Triangles come in shares by hash, each as large as all before it, and shapes that have passed leave. A shape without
+    one is tested with every triangle near it; those with many are settled by the first shares, whose number grows with the density."""
+    r = shapes.agg(F.max(F.greatest(*[(getattr(high, c) - getattr(low, c)) / 2 for c in "xyz"])).alias("r")).first()["r"]
+    expected = _candidates_a_shape(triangles)[0](float(r or 0.0))
+    shares = max(0, math.ceil(math.log2(max(expected, 1.0) / FEW)))
+    part = F.pmod(F.xxhash64("tid", F.lit(7)), F.lit(2**shares))
+    out, rest = None, shapes
+    for i in range(shares + 1):
+        some = triangles if shares == 0 else triangles.where((part >= (2 ** (i - 1) if i else 0)) & (part < 2**i))
+        # least by shape first: a filter before it would compute each gap twice
+        least = gap(_met(rest, some, size, low, high)).groupBy(ORD, "radius").agg(F.min("gap").alias("gap"))
+        got = least.where(test(F.sqrt("gap"), F.col("radius"))).select(ORD).distinct()
+        if i == shares:
+            return got if out is None else out.unionByName(got)
+        got = materialize(got, "met")
+        out = got if out is None else out.unionByName(got)
+        found = got.select(F.col(ORD).alias("__found"))
+        rest = materialize(rest.join(found, F.col(ORD).eqNullSafe(F.col("__found")), "left_anti"), "met-rest")
+        if rest.isEmpty():
+            return out
 
 
 def overlaps_sphere(spheres: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     """The spheres (ord, x, y, z, radius) that a surface touches or enters: ord."""
     s = spheres.select(ORD, *[F.col(c).alias("p" + c) for c in "xyz"], "radius")
     p, r = Vec.of("p"), Vec(*[F.col("radius")] * 3)
-    got = _met(s, triangles, size, p - r, p + r).withColumn("q", closest_on_triangle(p, *_corners()))
-    return got.where(F.sqrt("q.d2") <= F.col("radius")).select(ORD).distinct()
+    gap = lambda met: with_closest_on_triangle(met, p, *_corners()).withColumn("gap", F.col("q.d2"))
+    return _any(s, triangles, size, p - r, p + r, gap, lambda d, radius: d <= radius)
 
 
-def capsule_gap() -> Column:
-    """Squared distance of the segment p to q and the triangle a, b, c; needs ox .. dz and reach of the segment."""
+def _with_capsule_gap(df: DataFrame) -> DataFrame:
+    """``df`` with the squared distance of the segment p to q and the triangle a, b, c in gap; needs ox .. dz and reach of the segment."""
     p, q, corners = Vec.of("p"), Vec.of("q"), _corners()
-    square = lambda v: v.dot(v)
-    gaps = [closest_on_triangle(end, *corners)["d2"] for end in (p, q)]
-    gaps += [square(c - closest_on_segment(c, p, q)) for c in corners]
-    gaps += [inner_gap(p, q, *side) for side in zip(corners, corners[1:] + corners[:1], strict=True)]
-    return F.when(hit_distance(True).isNotNull(), 0.0).otherwise(F.least(*gaps))
+    df = with_closest_on_triangle(with_closest_on_triangle(df, p, *corners, "end0"), q, *corners, "end1")
+    df, near = bound(df, **{f"c{i}": c - closest_on_segment(c, p, q) for i, c in enumerate(corners)})
+    df, inner = bound(df, hit=hit_distance(True), **{f"i{i}": inner_gap(p, q, *side) for i, side in enumerate(zip(corners, corners[1:] + corners[:1], strict=True))})
+    gaps = [F.col("end0.d2"), F.col("end1.d2"), *[v.dot(v) for v in near], *inner[1:]]
+    return df.withColumn("gap", F.when(inner[0].isNotNull(), 0.0).otherwise(F.least(*gaps)))
 
 
 def overlaps_capsule(capsules: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
@@ -69,7 +146,7 @@ def overlaps_capsule(capsules: DataFrame, triangles: DataFrame, size: float) ->
     s = capsules.select(ORD, *[f"{n}{c}" for n in "pq" for c in "xyz"], "radius", *[F.col("p" + c).alias("o" + c) for c in "xyz"], d.x.alias("dx"), d.y.alias("dy"), d.z.alias("dz"), F.lit(1.0).alias("reach"))
     low = Vec(*[F.least("p" + c, "q" + c) - F.col("radius") for c in "xyz"])
     high = Vec(*[F.greatest("p" + c, "q" + c) + F.col("radius") for c in "xyz"])
-    return _met(s, triangles, size, low, high).where(F.sqrt(capsule_gap()) < F.col("radius")).select(ORD).distinct()
+    return _any(s, triangles, size, low, high, _with_capsule_gap, lambda d, radius: d < radius)
 
 
 def inside_solid(points: DataFrame, triangles: DataFrame, size: float, reach: float) -> DataFrame:

@@ -103,3 +103,21 @@ def test_standoff_cameras(spark):
     assert {r.id: (r.blocked, r.outside) for r in skipped.collect()} == {"a_b": (0, 6), "walled": (0, 6)}
     with pytest.raises(ValueError):
         surfaces.standoff_plan(t, 0)
+
+
+def test_dense_surfaces_are_sought_in_rounds(spark, monkeypatch):
+    r = random.Random(11)
+    tris = [[[x + r.uniform(-4, 4), y + r.uniform(-4, 4), z + r.uniform(-1, 1)] for _ in range(3)] for x, y, z in ([r.uniform(0, 60), r.uniform(0, 60), r.uniform(0, 60)] for _ in range(1500))]
+    pts = points(spark, [("p", *(r.uniform(-20, 80) for _ in range(3))) for _ in range(60)])
+    within, widths, shares = surfaces._closest_within, [], []
+    monkeypatch.setattr(surfaces, "_closest_within", lambda p, t, w, m: widths.append(w) or within(p, t, w, m))
+    met = surfaces._met
+    monkeypatch.setattr(surfaces, "_met", lambda s, t, *a: shares.append(t.count()) or met(s, t, *a))
+    soup_ = soup(spark, tris)
+    got = {x.ord: x for x in surfaces.closest_points(pts, soup_, 40.0).collect()}
+    assert widths[0] < 10.0 and widths[-1] <= 40.0
+    _, mean = surfaces._candidates_a_shape(soup_)
+    assert got == {x.ord: x for x in within(pts, soup_, 40.0, mean).collect()}
+    balls = pts.withColumn("radius", F.lit(12.0))
+    assert {x.ord for x in surfaces.overlaps_sphere(balls, soup_, 20.0).collect()} == {i for i, x in got.items() if x.distance <= 12.0}
+    assert len(shares) > 1 and shares[0] < 400 and sum(shares) <= 1500
