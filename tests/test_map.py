@@ -250,3 +250,14 @@ def test_edges_equally_near_but_for_rounding(spark):
     got = lambda x, y: [r[0] for r in row.select(shapes.nearest_edge(F.col("points"), F.lit("polygon"), F.lit(x), F.lit(y))["after"]).collect()]
     assert got(15.37, 3.0)[0] == 2
     assert got(20.37, 41.0)[1] == 2
+
+
+def test_bounded_nearest_begins_with_small_cells(spark, monkeypatch):
+    near_, sizes = entities.near, []
+    monkeypatch.setattr(entities, "near", lambda l, r, size, by=(): sizes.append(size) or near_(l, r, size, by))
+    left = points(spark, [("p", float(i * 7 % 50), float(i * 11 % 50), 0.0) for i in range(40)] + [("far", 500.0, 0.0, 0.0)])
+    right = points(spark, [("q", float(i * 13 % 50), float(i * 17 % 50), float(i % 3)) for i in range(300)])
+    got = {(x.ord, x["rank"], x.r_ord) for x in entities.nearest(left, right, k=2, radius=40.0).collect()}
+    assert sizes[0] < 20.0 and sizes[-1] <= 40.0
+    assert got == {(x.ord, x["rank"], x.r_ord) for x in entities._top(near_(left, right, 40.0), left, 2, "ord").collect()}
+    assert {x.ord for x in entities.EntityList(left).within(40.0, right).df.collect()} == set(range(40))
