@@ -4,15 +4,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.plans.storage import materialize, shuffled
+
 #: Least number of vertices of the kinds that may have any number, radii in pixels, a point's size.
 LEAST = {"polyline": 2, "polygon": 3}
 EDGE_RADIUS, VERTEX_RADIUS, PICK_RADIUS, POINT_SIZE = 8.0, 9.0, 8.0, 8.0
 
+#: Boxes of features that a click meets in the first round of ``picked``, about.
+FEW = 32.0
+
 Project = Callable[[Column], Column]
 
 
@@ -94,27 +100,68 @@ def picked(clicks: DataFrame, features: DataFrame, project: Project = flat, radi
 
     features: ord, id, kind (point, segment, polyline or polygon), points and size. A point's radius is half its size if that is
     more; a polygon is at distance 0 inside. Lines with a point behind the eye aren't met. Clicks and features meet by
-    cells of the screen that a feature's box, grown by its radius, covers."""
+    cells of the screen that a feature's box, grown by its radius, covers. Features come in shares from the last ord down, each
+    four times as large as the one before: a click that has one at distance 0 is settled, as nothing before it can win, and the others
+    go on. The first share gives a click about ``FEW`` boxes, so that the pairs tested don't grow with the density of features."""
     spots = F.transform("points", project)
     f = features.withColumn("at", spots).where((F.size("at") > 0) & ~F.exists("at", lambda s: s.isNull()))
     f = f.withColumn("reach", F.when(F.col("kind") == "point", F.greatest(F.lit(radius), F.coalesce("size", F.lit(POINT_SIZE)) / 2)).otherwise(F.lit(radius)))
     low = lambda c: F.array_min(F.transform("at", lambda s: s[c])) - F.col("reach")
     high = lambda c: F.array_max(F.transform("at", lambda s: s[c])) + F.col("reach")
-    for c in "xy":
-        f = f.withColumn(f"__{c}", F.explode(F.sequence(F.floor(low(c) / cell), F.floor(high(c) / cell))))
+    f = f.select("ord", "id", "kind", "at", "reach", *[e(c).alias(f"__{n}{c}") for n, e in (("lo", low), ("hi", high)) for c in "xy"])
     k = clicks.withColumns({"__x": F.floor(F.col("px") / cell), "__y": F.floor(F.col("py") / cell)})
     px, py, n = F.col("px"), F.col("py"), F.size("at")
-    edges = F.when(F.col("kind") == "polygon", n).otherwise(n - 1)
-    near = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(edges, F.lit(1)) - 1), lambda i: _along(F.get("at", i), F.get("at", (i + 1) % n), px, py)[1]))
 
-    def crosses(i: Column) -> Column:
+    def edge(i: Column) -> Column:
         a, b = F.get("at", i), F.get("at", (i + 1) % n)
-        return ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-
-    inside = (F.col("kind") == "polygon") & (F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1)
-    d = F.when(F.col("kind") == "point", F.hypot(F.get("at", F.lit(0))["x"] - px, F.get("at", F.lit(0))["y"] - py)).when(inside, F.lit(0.0)).otherwise(near)
-    met = k.join(f, ["__x", "__y"]).withColumn("d", d).where(F.col("d") <= F.col("reach"))
-    return met.groupBy("click").agg(F.min_by("id", F.struct("d", -F.col("ord"))).alias("id"))
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), b["y"].alias("ey"), dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("n2"))
+
+    # what depends on a feature alone is computed once, not for each pair
+    edges = F.greatest(F.when(F.col("kind") == "polygon", n).otherwise(n - 1), F.lit(1))
+    f = f.withColumn("edges", F.transform(F.sequence(F.lit(0), edges - 1), edge)).drop("at")
+
+    def gap(e: Column) -> Column:
+        t = F.when(e["n2"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - e["x"]) * e["dx"] + (py - e["y"]) * e["dy"]) / F.nullif(e["n2"], F.lit(0.0)))))
+        return F.hypot(px - e["x"] - t * e["dx"], py - e["y"] - t * e["dy"])
+
+    crosses = lambda e: ((e["y"] > py) != (e["ey"] > py)) & (px < e["dx"] * (py - e["y"]) / F.nullif(e["dy"], F.lit(0.0)) + e["x"])
+    inside = (F.col("kind") == "polygon") & (F.size(F.filter("edges", crosses)) % 2 == 1)
+    first = F.get("edges", F.lit(0))
+    d = F.when(F.col("kind") == "point", F.hypot(first["x"] - px, first["y"] - py)).when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform("edges", gap)))
+    near_box = [F.col(f"p{c}").between(F.col(f"__lo{c}") - 1e-6, F.col(f"__hi{c}") + 1e-6) for c in "xy"]
+    f, rest, out = materialize(f, "picked-features"), k, None
+    shares = _shares_by_ord(f)
+    for i, share in enumerate(shares):
+        some = f.where(share)
+        for c in "xy":
+            some = some.withColumn(f"__{c}", F.explode(F.sequence(F.floor(F.col(f"__lo{c}") / cell), F.floor(F.col(f"__hi{c}") / cell))))
+        met = rest.join(shuffled(some), ["__x", "__y"]).where(near_box[0] & near_box[1]).withColumn("d", F.explode(F.array(d))).where(F.col("d") <= F.col("reach"))
+        got = met.groupBy("click").agg(F.min(F.struct("d", (-F.col("ord")).alias("last"))).alias("m"), F.min_by("id", F.struct("d", -F.col("ord"))).alias("id"))
+        got = got if len(shares) == 1 else materialize(got, "picked")
+        out = got if out is None else out.unionByName(got)
+        if i + 1 < len(shares):
+            done = got.where("m.d = 0").select(F.col("click").alias("__done"))
+            rest = materialize(rest.join(done, F.col("click").eqNullSafe(F.col("__done")), "left_anti"), "picked-rest")
+            if rest.isEmpty():
+                break
+    return out.groupBy("click").agg(F.min_by("id", "m").alias("id"))
+
+
+def _shares_by_ord(f: DataFrame) -> list[Column]:
+    """Conditions that part features (ord, __lox .. __hiy) by falling ord; the bounds are approximate, the parts whole."""
+    sides = [g for c in "xy" for g in (F.min(f"__lo{c}").alias(f"lo{c}"), F.max(f"__hi{c}").alias(f"hi{c}"), F.avg(F.col(f"__hi{c}") - F.col(f"__lo{c}")).alias(f"mean{c}"))]
+    r = f.agg(F.count("*").alias("n"), *sides).first()
+    expected = float(r["n"])
+    for c in "xy":
+        span = (r[f"hi{c}"] or 0.0) - (r[f"lo{c}"] or 0.0)
+        expected *= r[f"mean{c}"] / span if span > 0 and math.isfinite(span) else 1.0
+    n = math.ceil(math.log(max(expected, 1.0) / FEW, 4)) if FEW < expected < math.inf else 0
+    if n == 0:
+        return [F.lit(True)]
+    bounds = f.agg(F.percentile_approx("ord", [1 - 4.0**-i for i in range(n, 0, -1)], 100_000)).first()[0] or []
+    o, before = F.col("ord"), [F.lit(False), *[F.col("ord").isNull() | (F.col("ord") >= b) for b in bounds]]
+    return [(o.isNull() | (o >= b)) & ~w for b, w in zip(bounds, before, strict=False)] + [~before[-1]]
 
 
 def document_type(json: Column) -> Column:
