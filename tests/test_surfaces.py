@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnfield.operators import nav, surfaces
+from cairnfield.operators import nav, rays, surfaces
 from tests.test_map import grid_mesh, points, soup
 
 
@@ -121,3 +121,12 @@ def test_dense_surfaces_are_sought_in_rounds(spark, monkeypatch):
     balls = pts.withColumn("radius", F.lit(12.0))
     assert {x.ord for x in surfaces.overlaps_sphere(balls, soup_, 20.0).collect()} == {i for i, x in got.items() if x.distance <= 12.0}
     assert len(shares) > 1 and shares[0] < 400 and sum(shares) <= 1500
+
+
+def test_rays_of_one_cell_are_counted(spark):
+    cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    flat = lambda t, z: (t, -10.0, -10.0, z, 90.0, -10.0, z, -10.0, 90.0, z)
+    t = spark.createDataFrame([flat(i, float(i)) for i in range(1, 4)], f"tid long, {cols}")
+    tilt = 0.6, 0.8  # crosses cells of 5 units
+    r = spark.createDataFrame([(1, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0, 10.0), (2, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0, 2.5), (3, 2.0, 2.0, 0.0, tilt[0], 0.0, tilt[1], 20.0), (4, 2.0, 2.0, 2.5, tilt[0], 0.0, -tilt[1], 20.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double, reach double")
+    assert sorted(x.ray for x in rays.odd_rays(r, t, 5.0).collect()) == [1, 3]
