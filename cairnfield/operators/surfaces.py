@@ -20,6 +20,9 @@ from cairnfield.plans.storage import materialize, shuffled
 #: Triangles that a shape meets in the first round, about.
 FEW = 8.0
 
+#: Triangles up to this number are broadcast to the points, whose rows then stay evenly dealt.
+FEW_TRIANGLES = 1_000
+
 #: Rays that lean a little off the vertical, so that none runs along an edge (fixed values).
 TILT = (0.0123, 0.0071)
 
@@ -67,7 +70,7 @@ def closest_points(points: DataFrame, triangles: DataFrame, reach: float) -> Dat
 
 
 def _closest_within(points: DataFrame, triangles: DataFrame, reach: float, mean: dict[str, float]) -> DataFrame:
-    """Triangles are dealt to the cells around them, points to their own cell only. Cells are not much smaller than a triangle."""
+    """Triangles are dealt to the cells around them (few ones to all tasks), points to their own cell only. Cells are not much smaller than a triangle."""
     pad = reach * (1 + 1e-9)
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flat, tall = max(pad, (mean["x"] + mean["y"]) / 8) or 1.0, max(2 * pad, mean["z"] / 4) or 1.0
@@ -75,7 +78,10 @@ def _closest_within(points: DataFrame, triangles: DataFrame, reach: float, mean:
     t = t.withColumn("iz", F.explode(F.sequence(cell(F.least("az", "bz", "cz") - pad, tall), cell(F.greatest("az", "bz", "cz") + pad, tall))))
     p = points.select(ORD, *[F.col(c).alias("p" + c) for c in "xyz"], cell(F.col("x"), flat).alias("ix"), cell(F.col("y"), flat).alias("iy"), cell(F.col("z"), tall).alias("iz"))
     keys = ["ix", "iy", "iz"]
-    got = p.repartition(n, *keys).join(shuffled(t.repartition(n, *keys)), keys)
+    if triangles.count() <= FEW_TRIANGLES:  # points on few cells would come to few tasks
+        got = p.repartition(n).join(F.broadcast(t), keys)
+    else:
+        got = p.repartition(n, *keys).join(shuffled(t.repartition(n, *keys)), keys)
     for c in "zxy":
         got = got.where((F.col("p" + c) >= F.least(f"a{c}", f"b{c}", f"c{c}") - pad) & (F.col("p" + c) <= F.greatest(f"a{c}", f"b{c}", f"c{c}") + pad))
     got = with_closest_on_triangle(got, Vec.of("p"), *_corners()).withColumn("distance", F.sqrt("q.d2"))

@@ -130,3 +130,14 @@ def test_rays_of_one_cell_are_counted(spark):
     tilt = 0.6, 0.8  # crosses cells of 5 units
     r = spark.createDataFrame([(1, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0, 10.0), (2, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0, 2.5), (3, 2.0, 2.0, 0.0, tilt[0], 0.0, tilt[1], 20.0), (4, 2.0, 2.0, 2.5, tilt[0], 0.0, -tilt[1], 20.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double, reach double")
     assert sorted(x.ray for x in rays.odd_rays(r, t, 5.0).collect()) == [1, 3]
+
+
+def test_points_over_few_triangles_stay_dealt(spark, monkeypatch):
+    p = spark.range(200).selectExpr("id AS ord", "CAST(id % 2 AS double) AS x", "0.5D AS y", "1D AS z")
+    cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 9.0, 0.0, 0.0, 0.0, 9.0, 0.0)], f"tid long, {cols}")
+    few = surfaces.closest_points(p, t, 2.0)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(surfaces, "FEW_TRIANGLES", 0)
+    assert got == sorted(map(tuple, surfaces.closest_points(p, t, 2.0).collect())) and len(got) == 200
