@@ -15,12 +15,6 @@ MAX_DEPTH, MAX_ITEMS, MAX_INLINE = 6, 50, 12
 #: Levels below which ``json_like`` gives null.
 MAX_LEVELS = 12
 
-_CHILD = "array<struct<key:string,at:array<int>,text:string,v:variant>>"
-
-
-def _is(v: Column, kind: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
-
 
 def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
@@ -30,29 +24,38 @@ def _scalar(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))
 
 
-def _numbers(v: Column) -> Column:
-    """Whether ``v`` is a list with items, all numbers."""
-    number = lambda x: F.coalesce(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
-    return _is(v, "ARRAY") & (F.size(_items(v)) > 0) & F.forall(_items(v), number)
-
-
-def _opened(key: Column, at: Column, v: Column, depth: int) -> Column:
-    """The rows of one value: itself if nothing is to be opened (``text`` set), else its children."""
-    self = lambda text: F.array(F.struct(F.when(key == "", "(value)").otherwise(key).alias("key"), at.alias("at"), text.alias("text"), F.lit(None).cast("variant").alias("v"))).cast(_CHILD)
-    shown = F.array_join(F.transform(F.slice(_items(v), 1, MAX_INLINE), _scalar), ", ")
-    inline = F.when(F.size(_items(v)) > MAX_INLINE, F.concat(F.lit("["), shown, F.lit(", … "), F.size(_items(v)).cast("string"), F.lit(" numbers]"))).otherwise(F.concat(F.lit("["), shown, F.lit("]")))
-    fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    unopened = F.lit(None).cast("string")
-    under = lambda k, i, x: F.struct(k.alias("key"), F.concat(at, F.array(i)).alias("at"), unopened.alias("text"), x.alias("v"))
-    items = F.transform(_items(v), lambda x, i: under(F.concat(key, F.lit("["), i.cast("string"), F.lit("]")), i, x))
-    named = F.transform(fields, lambda e, i: under(F.when(key == "", e["key"]).otherwise(F.concat(key, F.lit("."), e["key"])), i, e["value"]))
-    children = F.when(_is(v, "ARRAY"), items.cast(_CHILD)).otherwise(named.cast(_CHILD))
-    rest = F.struct(F.concat(F.when(key == "", "(value)").otherwise(key), F.lit(" …")).alias("key"), F.concat(at, F.array(F.lit(MAX_ITEMS))).alias("at"), F.concat((F.size(children) - MAX_ITEMS).cast("string"), F.lit(" more not shown")).alias("text"), F.lit(None).cast("variant").alias("v"))
-    several = F.when(F.size(children) > MAX_ITEMS, F.concat(F.slice(children, 1, MAX_ITEMS), F.array(rest).cast(_CHILD))).otherwise(children)
-    nested = _is(v, "ARRAY") | _is(v, "OBJECT")
-    deep = self(F.to_json(v)) if depth >= MAX_DEPTH else several
-    empty = F.when(_is(v, "ARRAY"), "[]").otherwise("{}")
-    return F.when(~nested, self(_scalar(v))).when(_numbers(v), self(inline)).when(F.size(children) == 0 if depth < MAX_DEPTH else F.lit(False), self(empty)).otherwise(deep)
+def _number(x: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+
+def _opened(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows (id, key, at, text, v) of the next level: a row whose ``text`` is set stays, a value that isn't to be opened gets its text,
+    others give way to their children.
+
+    What a value holds is a column of its own, so it is taken out once, however often it is asked for."""
+    key, at, v, items, fields, n = (F.col(c) for c in ("key", "at", "v", "items", "fields", "n"))
+    new, is_array = F.col("text").isNull(), items.isNotNull()
+    rows = rows.withColumn("items", F.when(new, _items(v)))
+    rows = rows.withColumn("fields", F.when(new & ~is_array, F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))))
+    rows = rows.withColumns({"n": F.coalesce(F.array_size(items), F.array_size(fields)), "numbers": is_array & (F.size(items) > 0) & F.forall(items, _number)})
+    shown = F.array_join(F.transform(F.slice(items, 1, MAX_INLINE), _scalar), ", ")
+    inline = F.concat(F.lit("["), shown, F.when(n > MAX_INLINE, F.concat(F.lit(", … "), n.cast("string"), F.lit(" numbers]"))).otherwise("]"))
+    told = F.when(~new, F.col("text")).when(n.isNull(), _scalar(v)).when(F.col("numbers"), inline)
+    rows = rows.withColumn("told", told.otherwise(F.to_json(v)) if depth >= MAX_DEPTH else told.when(n == 0, F.when(is_array, "[]").otherwise("{}")))
+    # one child more than is shown stands for the rest; the arrays are columns, as those are exploded fastest
+    some = lambda c: F.when(F.col("told").isNull(), F.slice(c, 1, MAX_ITEMS + 1))
+    rows = rows.select("id", "key", "at", "told", "n", some(items).alias("items"), some(fields).alias("fields"))
+    rows = rows.select("id", "key", "at", "told", "n", "fields", F.posexplode_outer("items").alias("i", "item"))
+    rows = rows.select("id", "key", "at", "told", "n", "i", "item", F.posexplode_outer("fields").alias("f", "field")).withColumn("pos", F.coalesce("i", "f"))
+    pos, name, none = F.col("pos"), F.when(key == "", "(value)").otherwise(key), F.lit(None)
+    child = F.when(F.col("i").isNotNull(), F.concat(key, F.lit("["), pos.cast("string"), F.lit("]"))).when(key == "", F.col("field.key")).otherwise(F.concat(key, F.lit("."), F.col("field.key")))
+    return rows.select(
+        "id",
+        F.when(pos.isNull(), name).when(pos == MAX_ITEMS, F.concat(name, F.lit(" …"))).otherwise(child).alias("key"),
+        F.when(pos.isNull(), at).otherwise(F.concat(at, F.array(pos))).alias("at"),
+        F.when(pos == MAX_ITEMS, F.concat((n - MAX_ITEMS).cast("string"), F.lit(" more not shown"))).when(pos.isNull(), F.col("told")).alias("text"),
+        F.when(pos.isNull() | (pos == MAX_ITEMS), none.cast("variant")).when(F.col("i").isNotNull(), F.col("item")).otherwise(F.col("field.value")).alias("v"),
+    )
 
 
 def flattened(df: DataFrame, id_col: str, value: Column) -> DataFrame:
@@ -63,10 +66,8 @@ def flattened(df: DataFrame, id_col: str, value: Column) -> DataFrame:
     fields stay in one task; rows whose JSON is null give none."""
     rows = df.select(F.col(id_col).alias("id"), F.lit("").alias("key"), F.array().cast("array<int>").alias("at"), F.lit(None).cast("string").alias("text"), value.alias("v")).where("v IS NOT NULL")
     for depth in range(MAX_DEPTH + 1):
-        done = F.array(F.struct("key", "at", "text", "v")).cast(_CHILD)
-        each = F.when(F.col("text").isNotNull(), done).otherwise(_opened(F.col("key"), F.col("at"), F.col("v"), depth))
-        rows = rows.select("id", F.explode(each).alias("c")).select("id", "c.*")
-    listed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "key", "text"))).alias("l"))
+        rows = _opened(rows, depth)
+    listed = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "key", "text"))).alias("l"))
     return listed.select("id", F.posexplode("l").alias("n", "e")).select("id", "n", "e.key", F.col("e.text").alias("value"))
 
 

@@ -62,3 +62,14 @@ def test_cell_joins_are_dealt_to_all_tasks(spark):
     got = E.near(one, one, 1.0)
     assert "Broadcast" not in plan(got) and got.rdd.getNumPartitions() == 4
     assert E.nearest(one, one.withColumn(ORD, one[ORD] + 1)).where("dist > 0").count() == 0
+
+
+def test_what_a_nested_value_holds_is_taken_out_once_a_level(spark):
+    from pyspark.sql import functions as F
+
+    from cairnfield.functions import nested
+
+    df = spark.createDataFrame([(1, '{"a": [1, "x"], "b": {"c": [2, 3]}}')], "id long, text string")
+    got = nested.flattened(df, "id", F.parse_json("text"))
+    assert plan(got).count("try_variant_get") <= 4 * (nested.MAX_DEPTH + 1)  # its list, its fields, its text and its numbers' text
+    assert [(r.key, r.value) for r in got.orderBy("n").collect()] == [("a[0]", "1"), ("a[1]", "x"), ("b.c", "[2, 3]")]
