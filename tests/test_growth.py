@@ -5,7 +5,7 @@ import random
 import pytest
 
 from cairnfield.operators import entities as E
-from cairnfield.operators import metadata
+from cairnfield.operators import meshes, metadata
 from cairnfield.operators.sequence import ORD, Seq
 
 
@@ -73,3 +73,49 @@ def test_what_a_nested_value_holds_is_taken_out_once_a_level(spark):
     got = nested.flattened(df, "id", F.parse_json("text"))
     assert plan(got).count("try_variant_get") <= 4 * (nested.MAX_DEPTH + 1)  # its list, its fields, its text and its numbers' text
     assert [(r.key, r.value) for r in got.orderBy("n").collect()] == [("a[0]", "1"), ("a[1]", "x"), ("b.c", "[2, 3]")]
+
+
+POLYGONS = "pid long, points array<struct<x: double, y: double, z: double>>"
+
+
+def quad(x0, y0, x1, y1):
+    return [(x0, y0, 0.0), (x1, y0, 0.0), (x1, y1, 0.0), (x0, y1, 0.0)]
+
+
+def test_vertices_weld_in_one_exchange(spark):
+    pool = spark.createDataFrame([(3, 1.0, 2.0, 0.0), (1, 1.001, 2.0, 0.0), (2, 5.0, 2.0, 0.0), (4, None, 2.0, 0.0)], "vid long, x double, y double, z double")
+    got = meshes.welded(pool)
+    assert plan(got).count("Exchange") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1.001, 2.0, 0.0), (2, 2, 5.0, 2.0, 0.0), (3, 1, 1.001, 2.0, 0.0)]
+
+
+def test_only_sides_on_a_border_are_counted(spark, monkeypatch):
+    seen = []
+    single = meshes._single
+    monkeypatch.setattr(meshes, "_single", lambda s, *more: seen.append(s.count()) or single(s, *more))
+    mesh = spark.createDataFrame([(0, quad(0.0, 0.0, 10.0, 10.0)), (1, quad(10.0, 0.0, 20.0, 6.0)), (2, quad(10.0, 6.0, 20.0, 10.0)), (3, quad(50.0, 50.0, 60.0, 60.0))], POLYGONS)
+    lines = spark.createDataFrame([("x", 10.0), ("y", 50.0)], "axis string, line double")
+    got, split = meshes.stitched_borders(mesh, lines, 1.0)
+    assert seen == [4]  # of 16
+    assert [(p.x, p.y) for p in got.where("pid = 0").first().points] == [(0, 0), (10, 0), (10, 6), (10, 10), (0, 10)]
+    assert [tuple(r) for r in split.collect()] == [(0, 1, 1)]
+
+
+def test_base_corners_that_nobody_asks_for_are_left_out(spark):
+    base = spark.createDataFrame([(i, quad(10.0 * i, 0.0, 10.0 * i + 10, 10.0)) for i in range(4)], POLYGONS)
+    added = spark.createDataFrame([(0, quad(0.1, -10.0, 10.1, 0.1))], POLYGONS.replace("pid", "ord"))
+    got = meshes.with_polygons(base, added)
+    assert "LeftSemi" in plan(got)
+    assert [(p.x, p.y) for p in got.where("pid = 4").first().points] == [(0.1, -10.0), (10.1, -10.0), (10.0, 0.0), (0.0, 0.0)]
+
+
+def test_a_node_meets_its_connections_once(spark):
+    mesh = spark.createDataFrame([(i, quad(10.0 * i, 0.0, 10.0 * i + 10, 10.0)) for i in range(4)], POLYGONS)
+    faces = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3), (4, None), (5, 1)], "face long, pid long")
+    pieces = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "pid long, component long")
+    nodes = spark.createDataFrame([(0, 1, [1, 2, 6]), (0, 2, [5])], "hull int, node long, nav_ids array<long>")
+    to = spark.createDataFrame([(0, 1, 3), (0, 1, 3), (0, 1, 1), (0, 1, 5), (0, 2, 1), (0, 3, 1)], "hull int, node long, nav_id long")
+    links, out = meshes.flow_links(nodes, to, faces, mesh, pieces)
+    assert plan(links).count("SortMergeJoin") <= 7 and plan(out).count("SortMergeJoin") <= 5
+    assert [(r.from_pid, r.to_pid) for r in links.collect()] == [(1, 2)]
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 1, "same component"), (0, 1, 5, "unresolved"), (0, 2, 1, "unresolved"), (0, 3, 1, "unresolved")]
